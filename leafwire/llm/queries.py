@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafwire.llm import decontaminate, packing, quality, secrets, simhash
+from leafwire.llm import decontaminate, hmm, packing, quality, secrets, simhash
 from leafwire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,11 +32,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_packing, op6_quality, op7_secrets, op8_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
