@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafwire.llm import decontaminate, hmm, packing, quality, secrets, simhash
+from leafwire.llm import decontaminate, hmm, html_text, packing, quality, secrets, simhash, vptree
 from leafwire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,5 +51,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_html, op3_decontaminate, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
