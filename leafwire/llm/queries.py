@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwire.llm import decontaminate, hmm, html_text, packing, quality, secrets, simhash, vptree
+from leafwire.llm import decontaminate, hmm, html_text, packing, quality, secrets, simhash, substrings, vptree
 from leafwire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -51,5 +56,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_html, op3_decontaminate, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_html, op3_decontaminate, op4_substrings, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

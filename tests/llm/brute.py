@@ -86,3 +86,25 @@ def near_duplicates(docs, radius=3):
 
 def crc(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+
+
+def without_repeats(docs, length=100):
+    """Rows (doc_id, n_bytes, n_removed, n_spans, sha256), by first places of all windows."""
+    first = {}
+    for d, text in docs:
+        x = (text or "").encode()
+        for i in range(len(x) - length + 1):
+            w, here = x[i : i + length], (d, i)
+            if here < first.get(w, (here[0], here[1] + 1)):
+                first[w] = here
+    out = []
+    for d, text in docs:
+        x = (text or "").encode()
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if first[x[i : i + length]] < (d, i):
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(x, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((d, len(x), len(x) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
