@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwire.llm import decontaminate, hmm, html_text, packing, quality, secrets, simhash, substrings, vptree
+from leafwire.llm import decontaminate, hmm, html_text, licenses, packing, quality, secrets, simhash, substrings, vptree
 from leafwire.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_scores(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_html, op3_decontaminate, op4_substrings, op5_packing, op6_quality, op7_secrets, op8_simhash, op10_language_model, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_html, op3_decontaminate, op4_substrings, op5_packing, op6_quality, op7_secrets, op8_simhash, op9_licenses, op10_language_model, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
