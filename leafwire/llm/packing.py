@@ -27,36 +27,42 @@ from leafwire.llm.common import slices, texts
 
 TIERS = (2048, 1024, 512, 256)
 END = 1
+PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
 class Encoder:
     """Token ids by a public tokenizer, with the ids of each white-space run kept once.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its runs
-    in turn. ASCII letters are lowered first, which the tokenizer does anyway, except
-    where a special token's text or a combining mark might be told apart by case.
+    in turn; a run of letters with punctuation after it has the ids of one and then the
+    other. New words of letters are encoded many at a time: each ends with the one id that
+    is marked as a word's end. ASCII letters are lowered first, which the tokenizer does
+    anyway, except where a special token's text or a combining mark might be told apart by
+    case.
     """
 
-    most = 400_000
+    most = 700_000
+    batch = 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        ends = np.zeros(max(self.whole.get_vocab().values()) + 1, bool)
+        ends[[i for t, i in self.whole.get_vocab().items() if t.endswith("</w>")]] = True
+        self.is_end = ends
         self.clear()
 
     def clear(self) -> None:
+        #: A run's entry, and 2**32 times the entry of its punctuation; entry 0 is empty.
         self.known: dict[bytes, int] = {}
         self.ids = np.empty(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used, self.entries = 0, 1
 
-    def add(self, words: list[bytes]) -> None:
-        got = [x.ids for x in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        n, m = len(self.known), len(words)
+    def store(self, words: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.entries, len(words)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + m > len(self.starts):
@@ -66,6 +72,38 @@ class Encoder:
         self.sizes[n : n + m] = sizes
         self.known.update(zip(words, range(n, n + m)))
         self.used += len(flat)
+        self.entries += m
+
+    def store_each(self, words: list[bytes]) -> None:
+        got = [x.ids for x in self.whole.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        self.store(words, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
+
+    def add(self, words: list[bytes]) -> None:
+        letters, other, joint = {}, {}, []
+        for w in words:
+            stem = w.rstrip(PUNCTUATION)
+            if not stem.decode().isalpha():
+                other[w] = None
+                continue
+            if stem not in self.known:
+                letters[stem] = None
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                joint.append((w, stem, tail))
+                if tail not in self.known:
+                    other[tail] = None
+        new = list(letters)
+        lines = [new[i : i + self.batch] for i in range(0, len(new), self.batch)]
+        for line, got in zip(lines, self.whole.encode_batch_fast([b" ".join(x).decode() for x in lines], add_special_tokens=False)):
+            flat = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.is_end[flat])
+            if len(ends) == len(line):
+                self.store(line, flat, np.diff(ends, prepend=-1))
+            else:  # letters that are split once they are normalized
+                self.store_each(line)
+        self.store_each(list(other))
+        self.known.update((w, self.known[stem] + (self.known[tail] << 32)) for w, stem, tail in joint)
 
     def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and how many of them each text has."""
@@ -84,17 +122,26 @@ class Encoder:
         del runs
         if new := [w for w in words if w not in self.known]:
             self.add(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[codes]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        both = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        # the ids of each distinct run side by side, then those of every run
+        pairs = np.stack([both & 0xFFFFFFFF, both >> 32], 1).ravel()
+        own = self.gather(self.starts[pairs], self.sizes[pairs], self.ids)
+        sizes = self.sizes[pairs].reshape(-1, 2).sum(1)
+        flat = self.gather((np.cumsum(sizes) - sizes)[codes], sizes[codes], own)
+        bounds = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
         totals = np.diff(bounds)
         if direct:
             parts = [direct.get(i, flat[a:b]) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             flat, totals = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return flat, totals
 
+    @staticmethod
+    def gather(starts: np.ndarray, sizes: np.ndarray, source: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return source[at]
+
 
 _encoders: dict[str, Encoder] = {}
 
