@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few ids that a lookup may broadcast, about 50 MB; more are joined by shuffle.
+LOOKUP_ROWS = 500_000
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -29,6 +34,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A table of ids, checkpointed and counted: broadcast if it has few rows, so that what is
+    looked up need not be shuffled, and else as it is."""
+    kept = keep(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -49,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, name: str =
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = [len(x or b"") for x in batch.column(name).cast(pa.binary()).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
         first = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafwire.llm.common import lookup
+
 try:
     from re import _constants as K
     from re import _parser as parser
@@ -131,10 +133,13 @@ def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, doc_id) of the trigrams that occur in each text, in either case."""
-    low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(trigrams)]))
-    rows = docs.select("doc_id", found.alias("found")).where(F.size("found") > 0)
-    return rows.select(F.explode("found").alias("trigram"), "doc_id")
+    low = F.lower("text")  # one expression of all tests, so that it is made once a text
+    masks = [reduce(Column.__add__, [F.when(low.contains(t), F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, t in enumerate(trigrams[i : i + WIDTH])]) for i in range(0, len(trigrams), WIDTH)]
+    rows = docs.select("doc_id", *[m.alias(f"m{i}") for i, m in enumerate(masks)])
+    bits = [F.when(F.col(f"m{i // WIDTH}").bitwiseAND(F.lit(1 << i % WIDTH).cast("long")) != 0, F.lit(i)) for i in range(len(trigrams))]
+    # an outer explode: from an inner one a filter is inferred that would make all tests again
+    found = rows.select(F.array_compact(F.array(*bits)).alias("found"), "doc_id")
+    return found.select(F.explode_outer("found").alias("trigram"), "doc_id").where("trigram is not null")
 
 
 def candidates(index: DataFrame, trigrams: list[str], rules: tuple[Rule, ...]) -> DataFrame:
@@ -183,7 +188,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """
     trigrams = vocabulary(rules)
     listed = [r.kind for r in rules if frozenset() not in trigram_query(r.regex)]
-    hits = candidates(postings(docs, trigrams), trigrams, rules).withColumnRenamed("doc_id", "_posted")
+    hits = lookup(candidates(postings(docs, trigrams), trigrams, rules).withColumnRenamed("doc_id", "_posted"))
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_posted")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
