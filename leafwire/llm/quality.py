@@ -138,7 +138,8 @@ def gradients(net: Network, docs: list[bytes], labels: np.ndarray, weight: np.nd
     dz = ((p - labels) * weight / len(docs)).astype(np.float32)
     g_out = np.concatenate([mean, high], 1).T @ dz
     d_chunk = (dz / blocks)[doc, None] * net.out[:FILTERS]
-    d_chunk = d_chunk + np.where(chunks == high[doc], dz[doc, None] * net.out[FILTERS:], 0)
+    ties = chunks == high[doc]  # a block is in two chunks, so the largest value often is as well
+    d_chunk = d_chunk + ties / np.add.reduceat(ties, starts, dtype=np.float32)[doc] * (dz[doc, None] * net.out[FILTERS:])
     d_top = np.zeros_like(top)
     np.add.at(d_top, (source, np.arange(FILTERS)[None]), d_chunk)
     d_top *= top > 0
@@ -163,10 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, seed: int = 0, ste
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows_ = docs.where("text is not null").where(remainder("doc_id", 4) != 2).select("doc_id", "text").join(known, "doc_id")
-    # half of the sample may be of the rarer label
+    # each label has half of the sample; the hash is cut off so that tasks send few rows more than are kept
+    rows_ = rows_.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    counts = {r["quality"]: r["count"] for r in rows_.groupBy("quality").count().collect()}
     picked = []
     for label in (0, 1):
-        part = rows_.where(F.col("quality") == label).withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h")
+        share = min(1.0, 1.2 * (rows // 2) / max(1, counts.get(label, 0)) + 1e-6)
+        part = rows_.where((F.col("quality") == label) & (F.col("h") <= int(share * (1 << 30)))).orderBy("h", "doc_id")
         picked.append(part.select("doc_id", F.substring("text", 1, 1 << 14).alias("text"), "quality").limit(rows // 2))
     sample = picked[0].union(picked[1]).collect()
     epochs = min(60, max(1, round(steps * 32 / max(1, len(sample)))))
