@@ -101,7 +101,7 @@ def packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 0.6, shard_rows: int = 2048, block: int = 512) -> DataFrame:
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, shard_rows: int = 2048, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``embeddings`` (vec_id, embedding) that is a query.
 
     Candidates are all rows but those of the query's own id. Vectors that are null, zero, or
