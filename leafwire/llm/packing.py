@@ -12,6 +12,7 @@ Sequences are dealt to step groups by length so that groups hold like numbers of
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
@@ -83,7 +84,8 @@ class Encoder:
         letters, other, joint = {}, {}, []
         for w in words:
             stem = w.rstrip(PUNCTUATION)
-            if not stem.decode().isalpha():
+            text = stem.decode()
+            if not (text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())):
                 other[w] = None
                 continue
             if stem not in self.known:
