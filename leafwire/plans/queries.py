@@ -421,3 +421,81 @@ def ingest_lossless(spark, sf_dir):
     raw = F.when(k % 3 == 0, F.lit("size=x")).otherwise(lines(size="p_size"))
     rows = table(spark, sf_dir, "part").select(k.alias("rec_id"), raw.alias("raw"), F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit("}")).alias("value"))
     return corpus.ingest(rows, "raw", "value").select("rec_id", F.from_json("value", "size int")["size"].alias("p_size"))
+
+
+@query("""select p_partkey, cast(p_size as varchar) as size, '"' || p_name || '"' as name, cast(p_size > 25 as varchar) as big from part""")
+def infer_scalars(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), "p_name", flag(F.col("p_size") > 25).alias("big"))
+    return rows.select("p_partkey", native.infer_scalar("size").alias("size"), native.infer_scalar("p_name").alias("name"), native.infer_scalar("big").alias("big"))
+
+
+@query("""select count(*) as n, count(*) as fenced, count(*) as crlf, count(*) as marked from customer""")
+def native_surface(spark, sf_dir):
+    raw = lines(id="c_custkey", name="c_name")
+    rows = table(spark, sf_dir, "customer").select(raw.alias("raw"), *[mutate.WRAPS[w](raw).alias(w) for w in ("fence", "crlf", "markers")])
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_if(native.strip_fence("fence") == F.col("raw")).alias("fenced"),
+        F.count_if(native.normalize_crlf("crlf") == F.col("raw")).alias("crlf"),
+        F.count_if(native.strip_markers("markers") == F.col("raw")).alias("marked"),
+    )
+
+
+@query("""select v.variant, count(*) as n, count(*) filter (where v.variant <> 'garbage') as n_ok from customer,
+(values ('coerce_separator'), ('duplicate'), ('shrink_delimiters'), ('other_nonce'), ('garbage'), ('reverse'), ('indent')) as v(variant) group by 1""")
+def structural_damage(spark, sf_dir):
+    rows = mutate.damage(table(spark, sf_dir, "customer").select(lines(id="c_custkey", name="c_name").alias("raw")))
+    return udfs.decoded(rows, "raw").groupBy("variant").agg(F.count("*").alias("n"), F.count_if("decoded.ok").alias("n_ok"))
+
+
+@query("""select count(*) as n, count(*) filter (where o_orderkey % 3 = 0) as n_sparse, count(*) as n_kept from orders""")
+def lenient_sparse(spark, sf_dir):
+    raw = F.concat(lines(id="o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "\nxs[0]=1\nxs[2]=3").otherwise("\nxs[0]=1"))
+    rows = udfs.decoded(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw", lenient=True)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.exists("decoded.errors", lambda e: e["key"] == "xs")).alias("n_sparse"), F.count_if(value("id bigint")["id"] == F.col("o_orderkey")).alias("n_kept"))
+
+
+@query("""select count(*) as n, count(*) filter (where p_partkey % 2 = 0) as n_canon, count(*) filter (where p_partkey % 3 <> 0) as n_value from part""")
+def two_equalities(spark, sf_dir):
+    k = F.col("p_partkey")
+    a = F.concat(F.lit('{"a":'), F.col("p_size").cast("string"), F.lit("}"))
+    b = F.concat(F.lit('{ "a" : '), F.when(k % 3 == 0, (F.col("p_size") + 1).cast("string")).when(k % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".0"))), F.lit("}"))
+    same = F.concat(F.lit('{"a": '), F.col("p_size").cast("string"), F.when(k % 2 == 0, "").otherwise(".0"), F.lit("}"))
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_if(udfs.canon_equal(a, same)).alias("n_canon"), F.count_if(udfs.value_equal(a, b)).alias("n_value"))
+
+
+@query("""select o_orderkey % 3 as k, count(*) as n, case o_orderkey % 3 when 0 then 'status' when 1 then 'id,status' else '' end as missing from orders group by 1, 3""")
+def missing_required(spark, sf_dir):
+    k = F.col("o_orderkey")
+    names = F.when(k % 3 == 0, F.array(F.lit("id"))).when(k % 3 == 1, F.array(F.lit("other"))).otherwise(F.array(F.lit("id"), F.lit("status")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("rec_id"), F.explode(names).alias("name"))
+    found = leaftable.missing_required(rows, ["id", "status"])
+    return found.groupBy((F.col("rec_id") % 3).alias("k"), F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+@query("""select 'translate' as task, count(*) as n, count(*) filter (where role = 'user') as wrapped from conversations""")
+def translate_prompts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.lit("translate").alias("task"), F.when(F.col("role") == "user", F.to_json(F.struct("role", "turn"))).otherwise(F.lit("plain words")).alias("t"))
+    return rows.where("task = 'translate'").groupBy("task").agg(F.count("*").alias("n"), F.count_if(native.translate_prompt("t").startswith("Translate")).alias("wrapped"))
+
+
+@query("""select case when doc_id % 4 = 0 then '?' else lang end as shape, count(*) as n from documents group by 1""")
+def default_shape(spark, sf_dir):
+    meta = F.struct(F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("shape"), F.lit(None).cast("string").alias("task"))
+    return table(spark, sf_dir, "documents").select(meta.alias("meta")).groupBy(corpus.shape_of().alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query(f"""select grp, fidelity >= 0.8 * n as passed from ({SCORES_SQL})""")
+def self_test(spark, sf_dir):
+    return evaluate.self_test(score_pairs(spark, sf_dir))
+
+
+@query("""select doc_id, lang from documents order by doc_id limit 20""")
+def file_order_head(spark, sf_dir):
+    return corpus.capped(table(spark, sf_dir, "documents").select("doc_id", "lang"), 20, "doc_id")
+
+
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'chatml' else 'llama' end as family, case p_partkey % 3 when 0 then 'apache-2.0' else 'llama3.2' end as license from part""")
+def model_families(spark, sf_dir):
+    model = F.when(F.col("p_partkey") % 3 == 0, "Org/Qwen-1").otherwise("Org/Llama-1")
+    return table(spark, sf_dir, "part").select("p_partkey", native.template_family(model).alias("family"), native.license_of(model).alias("license"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafwire.functions import native, udfs
 from leafwire.functions.trees import shown_strictly
 from leafwire.operators import corpus, evaluate, hygiene, mutate, report
+from leafwire.plans import stages
 from leafwire.plans.queries import ORACLE_SQL, QUERIES, splits
 from leafwire.sources import jsonl
 from leafwire.streaming import records
@@ -131,3 +132,15 @@ def test_stream(spark, tmp_path):
     q = records.quality_by_window(records.read_stream(spark, str(source))).writeStream.format("memory").queryName("q").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n), sum(ok) from q").first()[:] == (10, 5)
+
+
+def test_stage(spark):
+    shapes = ("held",)
+    rows = [(0, "train", "s", '1', "1"), (1, "valid", "s", "2", "2"), (2, "holdout", "held", "3", "3")]
+    good = spark.createDataFrame(rows, "rec_id long, split string, shape string, prompt string, source string")
+    pairs = spark.createDataFrame([("valid", "a=1", "a=1")], "grp string, gold string, candidate string")
+    assert stages.stage(spark, good, pairs, "smoke", shapes)["evaluation"]["gate"]["passed"]
+    with pytest.raises(stages.LegFailed, match="data"):
+        stages.stage(spark, good.withColumn("shape", F.lit("held")), pairs, "smoke", shapes)
+    cases = spark.createDataFrame([("a=1", True), ("=x", False), ("a=[", True)], "input string, accept boolean")
+    assert [r["input"] for r in stages.lint(cases).collect()] == ["a=["]
