@@ -1,16 +1,17 @@
 """Removal of repeated byte strings with suffix arrays of content-routed shards.
 
 Every stretch of ``length`` bytes (a window) is routed by its anchor: the least of the
-hashed 16-byte strings in it, the leftmost of equals. Equal windows have equal anchors at
+hashed 40-byte strings in it, the leftmost of equals. Equal windows have equal anchors at
 equal offsets, so they meet. Windows in a row with the same anchor occurrence make one piece.
 
 1. Anchors are counted. Those that occur twice or more set bits of a filter of fixed size;
-   it only spares work, since all later steps are exact by themselves.
-2. Pieces whose anchor may repeat are written with their bytes. Equal pieces become one class
-   with its earliest place, all other places are repeats; partial minima keep a passage that
-   very many documents share out of any single task.
-3. Classes that share an anchor meet in a shard, which sorts the suffixes of its pieces by
-   induction and finds equal windows of different pieces by their permuted common prefixes.
+   a filter only spares work, since all later steps are exact by themselves.
+2. Pieces whose anchor may repeat are written, as hashes. Equal pieces become one class with
+   its earliest place, all other places are repeats; partial minima keep a passage that very
+   many documents share out of any single task.
+3. Classes that share an anchor are cut from the texts again, by a second filter, and meet in a
+   shard, which sorts the suffixes of its pieces by induction and finds equal windows of
+   different pieces by their permuted common prefixes.
 4. An anchor with very many classes is split by window instead: one row for each window of its
    classes, grouped by hash with partial minima.
 """
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from leafwire.llm.common import keep, shared_folder, slices, texts
 from leafwire.llm.suffix import common_prefixes, suffix_array
 
-GRAM = 16
-PART = 8 << 20
+GRAM = 40
+SLICE = 1 << 20
+PART = 2 << 20
 #: Odd multipliers and the places of the bits that the position takes in a packed minimum.
 M1, M2, M3, STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 LOW = np.uint64(24)
@@ -41,13 +43,15 @@ BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at each place where they fit."""
     word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
-    h = word[: len(data) - GRAM + 1] * M1
-    b = word[8 : 8 + len(h)] * M2
-    h ^= b >> np.uint64(31)
-    h += b
-    h ^= h >> np.uint64(29)
-    h *= M3
+    n = len(data) - GRAM + 1
+    h = word[:n] * M1
+    for k in range(8, GRAM, 8):
+        h ^= h >> np.uint64(29)
+        h += word[k : k + n]
+        h *= M2
     h ^= h >> np.uint64(32)
+    h *= M3
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -143,68 +147,110 @@ def repeated_windows(blobs: list[bytes], doc: np.ndarray, start: np.ndarray, len
     return owner[again[lead]], again[lead] - firsts[owner[again[lead]]], run
 
 
-def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_bytes: int = 1 << 20, hot: int = 512) -> DataFrame:
+def mixed(*columns: np.ndarray) -> np.ndarray:
+    """A hash of the columns' values, row by row."""
+    h = np.full(len(columns[0]), M3, np.uint64)
+    for c in columns:
+        h ^= c.astype(np.int64).view(np.uint64)
+        h *= M1
+        h ^= h >> np.uint64(31)
+    return h
+
+
+class BitFilter:
+    """Flags of a fixed number, of which those of the rows' hashes are set."""
+
+    def __init__(self, flags: np.ndarray):
+        self.flags = flags
+
+    def holds(self, *columns: np.ndarray) -> np.ndarray:
+        """Rows that may be in it: all that are, and few others while it is not full."""
+        at = mixed(*columns) & np.uint64(8 * len(self.flags) - 1)
+        return (self.flags[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+    @classmethod
+    def of(cls, rows: DataFrame, bits: int) -> BitFilter:
+        """Each task sets the flags of its own part of the range, so what comes to the driver is the
+        filter once, of this size whatever the input."""
+        chunk, names = min(15, bits), rows.columns
+
+        def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = np.unique(mixed(*(batch.column(c).to_numpy() for c in names)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(b >> chunk)], ["b", "c"])
+
+        def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                b = np.unique(batch.column("b").to_numpy())
+                cuts = np.flatnonzero(b[1:] >> chunk != b[:-1] >> chunk) + 1
+                for part in np.split(b, cuts) if len(b) else ():
+                    flags = held.setdefault(int(part[0] >> chunk), np.zeros(1 << chunk, bool))
+                    flags[part & ((1 << chunk) - 1)] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["c", "flags"])
+
+        marked = rows.mapInArrow(hashed, "b long, c long").repartition("c").mapInArrow(marks, "c long, flags binary")
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        for row in marked.toLocalIterator():
+            out[row["c"] << (chunk - 3) : (row["c"] + 1) << (chunk - 3)] |= np.frombuffer(row["flags"], np.uint8)
+        return cls(out)
+
+
+def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_bytes: int = 1 << 20, hot: int = 4000) -> DataFrame:
     """kid, kh, start, len: byte spans of the rows of ``docs`` (kid long, kh, text) that repeat earlier ones."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/substrings-{uuid.uuid4().hex}"
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, PART // 2):
+        for batch in slices(batches, SLICE):
             got = [pieces_of(cut, length, False)["anchor"] for _, _, cut in parts(texts(batch), length)]
             names, n = np.unique(np.concatenate(got) >> 24, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.minimum(n, 2).astype(np.int32))], ["a", "n"])
 
-    twice = docs.select("text").mapInArrow(anchors, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
-    bits, chunk = 1 << filter_bits, 15
+    def pieces_in(known: BitFilter, with_bytes: bool) -> DataFrame:
+        """Pieces whose anchor is in the filter or, with their bytes, which are in it as a whole."""
+        held = spark.sparkContext.broadcast(known)
+        fields = ["anchor", "piece", "kid", "kh", "start", "count"] + ["bytes"] * with_bytes
+
+        def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = held.value
+            for batch in slices(batches, SLICE):
+                ids, hashes = batch.column("kid"), batch.column("kh")
+                for docs_, offsets, cuts in parts(texts(batch), length):
+                    p = pieces_of(cuts, length, True)
+                    row, start = np.array(docs_)[p["doc"]], np.array(offsets)[p["doc"]] + p["start"]
+                    if with_bytes:
+                        hit = known.holds(p["anchor"], p["piece"], ids.to_numpy()[row], start)
+                    else:
+                        hit = known.holds(p["anchor"] >> 24)
+                    some = np.flatnonzero(hit)
+                    which, start = pa.array(row[some]), start[some]
+                    columns = [pa.array(p["anchor"][some]), pa.array(p["piece"][some]), ids.take(which), hashes.take(which), pa.array(start), pa.array(p["count"][some].astype(np.int32))]
+                    if with_bytes:
+                        joined = b"".join(cuts)
+                        ends = p["at"][some] + p["count"][some] + length - 1
+                        columns.append(pa.array([joined[x:y] for x, y in zip(p["at"][some].tolist(), ends.tolist())], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, fields)
+
+        return docs.mapInArrow(cut, "anchor long, piece long, kid long, kh long, start long, count int" + ", bytes binary" * with_bytes)
 
-    def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, np.ndarray] = {}
-        for batch in batches:
-            b = np.unique(batch.column("b").to_numpy())
-            for c in np.unique(b >> chunk):
-                flags = rows.setdefault(int(c), np.zeros(1 << chunk, bool))
-                flags[b[b >> chunk == c] & ((1 << chunk) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([np.packbits(x).tobytes() for x in rows.values()], pa.binary())], ["c", "flags"])
-
-    place = F.pmod("a", F.lit(bits)).alias("b")
-    marked = twice.select(place).withColumn("c", F.shiftright("b", chunk)).repartition("c").mapInArrow(marks, "c long, flags binary")
-    flags = np.zeros(bits // 8, np.uint8)  # of this size whatever the input
-    for row in marked.toLocalIterator():
-        flags[row["c"] << (chunk - 3) : (row["c"] + 1) << (chunk - 3)] |= np.frombuffer(row["flags"], np.uint8)
-    held = spark.sparkContext.broadcast(flags)
-    fields = ["anchor", "piece", "kid", "kh", "start", "count", "bytes"]
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        for batch in slices(batches, PART // 2):
-            ids, hashes = batch.column("kid"), batch.column("kh")
-            for docs_, offsets, cuts in parts(texts(batch), length):
-                p = pieces_of(cuts, length, True)
-                b = (p["anchor"] >> 24) & (bits - 1)
-                some = np.flatnonzero(known[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1)
-                joined, at = b"".join(cuts), p["at"][some].tolist()
-                size = (p["count"][some] + length - 1).tolist()
-                which = pa.array(np.array(docs_)[p["doc"][some]])
-                start = np.array(offsets)[p["doc"][some]] + p["start"][some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["anchor"][some]), pa.array(p["piece"][some]), ids.take(which), hashes.take(which), pa.array(start), pa.array(p["count"][some].astype(np.int32)), pa.array([joined[a : a + n] for a, n in zip(at, size)], pa.binary())],
-                    fields,
-                )
-
-    docs.mapInArrow(cut, "anchor long, piece long, kid long, kh long, start long, count int, bytes binary").write.option("compression", "zstd").parquet(f"{folder}/pieces")
+    twice = docs.select("text").mapInArrow(anchors, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
+    pieces_in(BitFilter.of(twice.select("a"), filter_bits), False).write.option("compression", "zstd").parquet(f"{folder}/pieces")
     pieces = spark.read.parquet(f"{folder}/pieces")
     # equal pieces
-    classes = pieces.groupBy("anchor", "piece").agg(F.min(F.struct("kid", "start", "kh", "bytes")).alias("f"), F.count("*").alias("n"))
+    classes = pieces.groupBy("anchor", "piece").agg(F.min(F.struct("kid", "start")).alias("f"), F.count("*").alias("n"))
     classes.select("anchor", "piece", "n", "f.*").write.option("compression", "zstd").parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
     many = classes.where("n > 1").select("anchor", "piece", F.col("kid").alias("k0"), F.col("start").alias("s0"))
-    again = pieces.select("anchor", "piece", "kid", "kh", "start", "count").join(many, ["anchor", "piece"]).where("kid > k0 or start > s0")
+    again = pieces.join(many, ["anchor", "piece"]).where("kid > k0 or start > s0")
     equal = again.select("kid", "kh", "start", (F.col("count") + (length - 1)).cast("long").alias("len"))
     # different pieces around one anchor
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
-    near = classes.select("anchor", "kid", "kh", "start", "bytes").join(shared, "anchor")
-    total = classes.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    shared = keep(classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
+    total = (shared.agg(F.sum("m")).first()[0] or 0) * (length + 40)
     shards = max(1, -(-total // shard_bytes))
+    lead = keep(classes.join(shared, "anchor").select("anchor", "piece", "kid", "start", "m"))
+    near = pieces_in(BitFilter.of(lead.select("anchor", "piece", "kid", "start"), filter_bits), True)
+    near = near.select("anchor", "piece", "kid", "kh", "start", "bytes").join(lead, ["anchor", "piece", "kid", "start"])
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kid", "start", "kh"], ignore_index=True)
@@ -247,14 +293,15 @@ def without_repeats(docs: DataFrame, length: int = 100, **options: int) -> DataF
     keyed = keyed.withColumn("kh", F.xxhash64("text"))
     found = repeats(keyed.select("kid", "kh", "text"), length, **options)
     spans = keep(found.groupBy("kid", "kh").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans")))
-    rows = keyed.join(spans, ["kid", "kh"], "left")
+    held = docs.sparkSession.sparkContext.broadcast(BitFilter.of(spans.select("kid", "kh"), options.get("filter_bits", 27)))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [c for c in docs.columns if c != "text"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for x, spans_ in zip(texts(batch), batch.column("spans").to_pylist()):
+            spans_of = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
+            for x, spans_ in zip(texts(batch), spans_of):
                 kept, at, n = [], 0, 0
                 for span in spans_ or ():
                     a, b = span["start"], span["start"] + span["len"]
@@ -268,5 +315,13 @@ def without_repeats(docs: DataFrame, length: int = 100, **options: int) -> DataF
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], [*names, *out])
 
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = held.value.holds(batch.column("kid").to_numpy(), batch.column("kh").to_numpy())
+            yield batch.append_column("may", pa.array(may))
+
+    # only texts that may have spans go through the shuffle to them
+    flagged = keyed.select(*names, "text", "kid", "kh").mapInArrow(marked, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, kid long, kh long, may boolean"]))
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
-    return rows.select(*names, "text", "spans").mapInArrow(cut, schema)
+    joined = flagged.where("may").join(spans, ["kid", "kh"], "left").select(*names, "text", "spans")
+    return joined.mapInArrow(cut, schema).unionByName(flagged.where("not may").select(*names, "text").mapInArrow(cut, schema))
