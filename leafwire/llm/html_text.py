@@ -32,13 +32,16 @@ CELLS = {"br", "td", "th"}
 CONTAINERS = set("article main section div td body blockquote".split())
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
-    "signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies social share sharing related widget widgets toolbar pagination pager masthead".split()
+    "signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies social share sharing related widget widgets toolbar pagination pager masthead "
+    "notification notifications announcement responses promoted topbar sidenav subnav search login".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: An open one of these ends where one of the set starts.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 NEVER_NAMED = set("html body main article h1 h2 h3 h4 h5 h6".split())
 PIECE = 1 << 16
+#: Elements open at once; deeper ones are read as part of the one around them, as browsers do.
+DEPTH = 1000
 
 
 def furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -109,6 +112,8 @@ class Page(HTMLParser):
             return
         if tag in CELLS:
             self.parts.append(" ")
+        if len(self.stack) >= DEPTH:
+            return
         off = furniture(tag, attrs, self.articles > 0)
         where = self.container()
         if tag in CONTAINERS:

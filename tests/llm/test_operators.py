@@ -70,6 +70,12 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_very_deep_and_unclosed_pages():
+    assert html_text.main_text("<article>" + "<b>" * 20000 + "deep text here" + "<div>" * 5000 + "more") == "deep text here\nmore"
+    assert html_text.main_text("<article><p>Text before.</p><!-- never closed " + "x <p>" * 50000).startswith("Text before.")
+    assert html_text.main_text("<p>Some text.</p><script>" + "var x = 1; " * 50000) == "Some text."
+
+
 def test_html_pages(spark, sf_dir):
     got = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     for r in got.collect():
