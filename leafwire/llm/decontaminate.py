@@ -1,11 +1,12 @@
 """Benchmark decontamination with a positional inverted index.
 
-Postings (term, document, position) are stored for the terms that the test windows ask
-for, rarest first by corpus count: the lists of a window's two rarest terms are shifted by the
-terms' offsets and intersected by document and start. The posting of the rarest term
-carries the words around it, against which what the intersection leaves is verified
-word by word. All of it is DataFrame expressions; rows are dealt by document, never by
-term, so a very common term is spread like the documents that hold it.
+Postings (term, document, position) are made for the terms that the test windows ask for,
+rarest first by corpus count. Documents are the index's shards: a posting carries its
+document's list of words, so that the shifted lists of a window's other terms, rarest
+first, are intersected with it where it is, and only exact phrases leave the scan.
+Proximity matches shift and join the lists of the two rarest terms. All of it is
+DataFrame expressions; rows are dealt by document, never by term, so a very common term
+is spread like the documents that hold it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwire.llm.common import ascii_lower, keep
+from leafwire.llm.common import ascii_lower, keep, lookup
 
 #: What separates words; A-Z are lowered before or, in texts of the corpus, after the split.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -32,10 +33,12 @@ def key() -> tuple[Column, Column]:
 
 
 def tokens(docs: DataFrame, context: int = 0) -> DataFrame:
-    """kid, kh, pos (from 0), word (as written), and the list of words if ``context``."""
+    """kid, kh, pos, word (as written), and the list of words if ``context``.
+
+    Positions count from the text's first word or, if something else comes first, from one before it.
+    """
     words = docs.select(*key(), split_words(F.col("text")).alias("words"))
-    words = words.withColumn("words", F.when(F.col("words")[0] == "", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words")))
-    rows = words.select("kid", "kh", *["words"] * bool(context), F.posexplode("words").alias("pos", "word"))
+    rows = words.select("kid", "kh", *["words"] * bool(context), F.posexplode_outer("words").alias("pos", "word"))  # an inner one would have a filter inferred that splits again
     return rows.where("word <> ''")
 
 
@@ -56,51 +59,52 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_TERMS else df
 
 
-def with_terms(rows: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+def with_terms(rows: DataFrame, terms: DataFrame, n: int, exact: bool = True) -> DataFrame:
     """Rows of :func:`tokens` whose word, with A-Z lowered, is one of ``terms`` (term).
 
     The join is on the word in full lower case, which is cheap; what differs from lowering
-    A-Z alone is dropped after it.
+    A-Z alone is dropped after it, unless the caller compares whole phrases anyway. (Two
+    inequalities, because an equality would become a key that is made for every word.)
     """
     folded = terms.withColumn("fold", F.lower("term"))
-    return rows.withColumn("fold", F.lower("word")).join(small(folded, n), "fold").where(ascii_lower(F.col("word")) == F.col("term")).drop("fold", "word")
+    found = rows.withColumn("fold", F.lower("word")).join(small(folded, n), "fold")
+    if exact:
+        found = found.where((ascii_lower(F.col("word")) >= F.col("term")) & (ascii_lower(F.col("word")) <= F.col("term")))
+    return found.drop("fold", "word")
 
 
 def rarest(docs: DataFrame, wins: DataFrame, lists: int = 2) -> DataFrame:
     """(wid, terms, term, off, rank) of each window's ``lists`` rarest terms by corpus count."""
     places = wins.select("wid", "terms", F.posexplode("terms").alias("off", "term"))
     vocabulary = keep(places.select("term").distinct())
-    counts = with_terms(tokens(docs), vocabulary, vocabulary.count()).groupBy("term").agg(F.count("*").alias("n"))
+    counts = with_terms(tokens(docs), vocabulary, vocabulary.count(), exact=False).groupBy("term").agg(F.count("*").alias("n"))
     places = places.join(counts, "term", "left").fillna(0, ["n"])
     rank = F.expr("row_number() over (partition by wid order by n, off)")
     return places.withColumn("rank", rank).where(F.col("rank") <= lists).select("wid", "terms", "term", "off", "rank")
 
 
-def postings(docs: DataFrame, terms: DataFrame, n: int, context: int = 0) -> DataFrame:
-    """kid, kh, term, pos, and the ``context`` words on each side (``near``, from position ``first``)."""
-    rows = with_terms(tokens(docs, context), terms, n)
-    if not context:
-        return rows.select("kid", "kh", "term", "pos")
-    first = F.greatest(F.col("pos") - context, F.lit(0))
-    near = F.transform(F.slice("words", first + 1, F.lit(2 * context + 1)), ascii_lower)
-    return rows.select("kid", "kh", "term", "pos", first.alias("first"), near.alias("near"))
+def postings(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """kid, kh, term, pos of every occurrence of the terms."""
+    return with_terms(tokens(docs), terms, n).select("kid", "kh", "term", "pos")
 
 
 def phrase_matches(docs: DataFrame, wins: DataFrame, size: int = 8) -> DataFrame:
-    """kid, kh, wid, start, len: every place where a window's words follow each other."""
+    """kid, kh, wid, start, len: every place where a window's words follow each other.
+
+    The postings of each window's rarest term are shifted by its offset and intersected, in the
+    document that holds them, first with the second-rarest term's place, then with all others'.
+    """
     lists = keep(rarest(docs, wins))
-    n = wins.count()
-    lead = lists.where("rank = 1").select("wid", "terms", "term", "off")
-    other = lists.where("rank = 2").select("wid", "term", "off")
-    here = postings(docs, lead.select("term").distinct(), n, size - 1).join(small(lead, n), "term")
-    here = here.withColumn("start", F.col("pos") - F.col("off")).where("start >= first")
-    there = postings(docs, other.select("term").distinct(), n).join(small(other, n), "term")
-    there = there.select("kid", "kh", "wid", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    single = here.where(F.size("terms") == 1)
-    meet = [here["kid"].eqNullSafe(there["kid"]), *(here[c] == there[c] for c in ("kh", "wid", "start"))]
-    double = here.where(F.size("terms") > 1).join(there, meet, "left_semi")
-    exact = F.slice(F.col("near"), F.col("start") - F.col("first") + 1, F.size("terms")) == F.col("terms")
-    return single.unionByName(double).where(exact).select("kid", "kh", "wid", "start", F.size("terms").alias("len")).distinct()
+    second = lists.where("rank = 2").select("wid", F.col("term").alias("term2"), F.col("off").alias("off2"))
+    lead = lists.where("rank = 1").join(second, "wid", "left")
+    lead = keep(lead.select("wid", F.array_join("terms", " ").alias("phrase"), F.size("terms").alias("len"), "term", "off", F.lower("term2").alias("fold2"), "off2"))
+    rows = with_terms(tokens(docs, size), lead, lead.count(), exact=False)
+    rows = rows.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0")
+    rows = rows.where(F.col("fold2").isNull() | (F.lower(F.get("words", F.col("start") + F.col("off2"))) == F.col("fold2")))
+    # conditions are tested in any order, so the slice must be valid where start is not; and
+    # expressions with generated code only: a row that left it would take its document's words along
+    exact = ascii_lower(F.array_join(F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("len")), " ")) == F.col("phrase")
+    return rows.where(exact).select("kid", "kh", "wid", "start", "len").distinct()
 
 
 def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int = 4) -> DataFrame:
@@ -123,25 +127,36 @@ def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int = 4) -> DataFr
     return a.join(b, meet, "left_semi").select("kid", "kh", "wid", F.col("start1").alias("start")).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2) -> DataFrame:
-    """The rows of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated.
-
-    A word is hit inside any occurrence of a window. ``contaminated``: ``least`` items or more
-    have occurring windows. Null texts have no words; rows that share a doc_id are judged
-    one by one; item ids that are null are left out of the list but their windows hit.
-    An empty benchmark contaminates nothing.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """kid, kh, n_hit, n_items, items of the documents in which windows occur."""
     wins, items = windows(benchmark.select("item_id", "text"), size)
     found = keep(phrase_matches(docs.select("doc_id", "text"), wins, size))
     covered = found.select("kid", "kh", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct()
     hits = covered.groupBy("kid", "kh").agg(F.count("*").alias("n_hit"))
     named = found.select("kid", "kh", "wid").distinct().join(items, "wid").where("item_id is not null").select("kid", "kh", F.col("item_id").cast("string").alias("item")).distinct()
     listed = named.groupBy("kid", "kh").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    counted = hits.join(listed, [hits["kid"].eqNullSafe(listed["kid"]), hits["kh"] == listed["kh"]], "left").select(hits["kid"], hits["kh"], "n_hit", "n_items", "items")
+    return hits.join(listed, [hits["kid"].eqNullSafe(listed["kid"]), hits["kh"] == listed["kh"]], "left").select(hits["kid"], hits["kh"], "n_hit", "n_items", "items")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
+
+    A word is hit inside any occurrence of a window. ``contaminated``: ``least`` items or more
+    have occurring windows. Null texts have no words; rows that share a doc_id are judged
+    one by one; item ids that are null are left out of the list but their windows hit.
+    An empty benchmark contaminates nothing. Other columns are ignored.
+    """
+    counted = lookup(judged(docs, benchmark, size))
     words = split_words(F.col("text"))
     n_words = F.size(words) - (words[0] == "").cast("int") - ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
-    rows = docs.withColumns({"n_words": n_words.cast("long"), "_kh": F.xxhash64("text")})
-    rows = rows.join(counted, [F.col("doc_id").eqNullSafe(F.col("kid")), F.col("_kh") == F.col("kh")], "left")
-    rows = rows.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "n_items": F.coalesce("n_items", F.lit(0).cast("long"))})
-    rows = rows.withColumns({"items_sha256": F.sha2(F.coalesce("items", F.lit("")), 256), "contaminated": F.col("n_items") >= least})
-    return rows.drop("_kh", "kid", "kh", "items")
+    rows = docs.select("doc_id", n_words.cast("long").alias("n_words"), F.xxhash64("text").alias("h"))
+    rows = rows.join(counted, [F.col("doc_id").eqNullSafe(F.col("kid")), F.col("h") == F.col("kh")], "left")
+    none = F.lit(0).cast("long")
+    n_items = F.coalesce("n_items", none)
+    return rows.select("doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_items >= least).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`contamination` does not mark."""
+    bad = lookup(judged(docs, benchmark, size).where(F.col("n_items") >= least).select("kid", "kh"))
+    return docs.join(bad, [docs["doc_id"].eqNullSafe(bad["kid"]), F.xxhash64(docs["text"]) == bad["kh"]], "left_anti")
