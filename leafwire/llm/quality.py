@@ -43,14 +43,19 @@ def padded(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8), np.array(blocks)
 
 
+def phases(net: Network, data: np.ndarray) -> list[np.ndarray]:
+    """The embedded windows that start at each place modulo WIDTH: views of one array."""
+    flat = np.take(net.embed, np.concatenate([data, np.zeros(WIDTH, np.uint8)]), axis=0).ravel()
+    n, size = len(data) // WIDTH, WIDTH * DIM
+    return [flat[p * DIM : p * DIM + n * size].reshape(n, size) for p in range(WIDTH)]
+
+
 def block_max(net: Network, data: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Largest response of each filter in each block; ``last``: the blocks that end a text."""
-    spread = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     n = len(data) // WIDTH
     ends = (last + 1) * (STRIDE // WIDTH) - 1
     best = None
-    for phase in range(WIDTH):
-        x = net.embed[spread[phase : phase + n * WIDTH]].reshape(n, WIDTH * DIM)
+    for phase, x in enumerate(phases(net, data)):
         y = x @ net.filters
         if phase:
             y[ends] = -np.inf  # would reach into the next text
@@ -120,8 +125,8 @@ def gradients(net: Network, docs: list[bytes], labels: np.ndarray, weight: np.nd
     spread = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     last = ends * (STRIDE // WIDTH) - 1
     all_y = np.empty((WIDTH, n, FILTERS), np.float32)
-    for phase in range(WIDTH):
-        all_y[phase] = net.embed[spread[phase : phase + n * WIDTH]].reshape(n, -1) @ net.filters
+    for phase, x in enumerate(phases(net, data)):
+        np.matmul(x, net.filters, out=all_y[phase])
         if phase:
             all_y[phase, last] = -np.inf
     flat = all_y.transpose(1, 0, 2).reshape(-1, STRIDE, FILTERS)
@@ -148,10 +153,9 @@ def gradients(net: Network, docs: list[bytes], labels: np.ndarray, weight: np.nd
     near = spread[at[:, None] + np.arange(WIDTH)]  # the eight bytes under each chosen response
     x = net.embed[near].reshape(len(at), -1)
     g = d_top[b, f]
-    g_filters = np.zeros_like(net.filters.T)
-    np.add.at(g_filters, f, x * g[:, None])
-    g_embed = np.zeros_like(net.embed)
-    np.add.at(g_embed, near.ravel(), (net.filters.T[f] * g[:, None]).reshape(-1, DIM))
+    g_filters = np.stack([g[f == k] @ x[f == k] for k in range(FILTERS)])
+    back = (net.filters.T[f] * g[:, None]).reshape(-1, DIM)
+    g_embed = np.stack([np.bincount(near.ravel(), back[:, d], 256) for d in range(DIM)], 1).astype(np.float32)
     return {"embed": g_embed, "filters": np.ascontiguousarray(g_filters.T), "bias": d_top.sum(0), "out": g_out.astype(np.float32), "shift": np.array([dz.sum()], np.float32)}
 
 
