@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -69,9 +71,25 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, name: str =
                 first, total = i, 0
             total += n
         yield batch.slice(first)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on between tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a folder of this machine only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return named.rstrip("/") if named else tempfile.mkdtemp(prefix="leafwire-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -42,7 +42,7 @@ class Encoder:
     case.
     """
 
-    most = 700_000
+    most = 400_000
     batch = 500
 
     def __init__(self, path: str):

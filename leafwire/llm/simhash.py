@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwire.llm.common import keep, slices, texts
+from leafwire.llm.common import keep, lookup, slices, texts
 
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = (np.arange(8) * 256).astype(np.int64)
@@ -192,13 +192,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     return fps.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def with_fingerprint(docs: DataFrame, name: str, width: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with each row's fingerprint as 16 hex digits."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = [f"{fingerprint(x, width, seed) & (1 << 64) - 1:016x}" for x in texts(batch)]
+            yield batch.append_column(name, pa.array(fps, pa.string()))
+
+    return docs.mapInArrow(run, f"{fields}, `{name}` string")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, then the smallest text.
+    """``docs`` with one row of each component, that of its smallest id; all columns stay.
 
-    Rows without an id go by their text alone. All columns stay.
+    Rows without an id go by their text alone. Of rows that share an id those stay whose
+    component it is the smallest id of, one for each fingerprint.
     """
-    found = near_duplicates(docs, width, seed, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).where("_id is not null and _id = _component").distinct()
-    first = docs.join(found.select("_id"), docs["doc_id"] == F.col("_id"), "left_semi")
-    named, rest = first, docs.where("doc_id is null")
-    named = named.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id"]).drop("_h")
-    return named.unionByName(rest.dropDuplicates(["text"]))
+    judged = keep(near_duplicates(docs, width, seed, radius).where("doc_id is not null"))
+    ids = keep(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")))
+    gone = lookup(ids.where("not stays or n > 1").select(F.col("doc_id").alias("_id")))
+    plain = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    again = lookup(ids.where("stays and n > 1").select(F.col("doc_id").alias("_id")))
+    repeated = with_fingerprint(docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi"), "_fp", width, seed)
+    first = judged.where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
+    repeated = repeated.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    return plain.unionByName(repeated).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

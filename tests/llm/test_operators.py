@@ -352,7 +352,7 @@ def test_links_and_components(spark, block):
 
 def test_drop_near_duplicates(odd_docs, empty_docs):
     got = simhash.drop_near_duplicates(odd_docs)
-    assert got.columns == odd_docs.columns and got.where("doc_id = 6").count() == 0 and got.where("doc_id = 5").count() == 1
+    assert got.columns == odd_docs.columns and got.where("doc_id = 6").count() == 0 and sorted(r["text"][:5] for r in got.where("doc_id = 5").collect()) == ["alpha", "anoth"]
     assert simhash.drop_near_duplicates(empty_docs).count() == 0 and simhash.near_duplicates(empty_docs).count() == 0
 
 
