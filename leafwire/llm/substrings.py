@@ -196,7 +196,7 @@ class BitFilter:
         return cls(out)
 
 
-def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_bytes: int = 1 << 20, hot: int = 4000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_bytes: int = 1 << 19, hot: int = 4000) -> DataFrame:
     """kid, kh, start, len: byte spans of the rows of ``docs`` (kid long, kh, text) that repeat earlier ones."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/substrings-{uuid.uuid4().hex}"
