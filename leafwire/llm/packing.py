@@ -42,7 +42,7 @@ class Encoder:
     case.
     """
 
-    most = 400_000
+    most = 250_000
     batch = 500
 
     def __init__(self, path: str):
