@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwire.llm import decontaminate, packing, quality, secrets, simhash
+from leafwire.llm import decontaminate, nearcopies, packing, quality, secrets
 from leafwire.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the document of the smallest id."""
-    return simhash.drop_near_duplicates(docs).select(*COLUMNS)
+    """Of each component of near copies (five-word Jaccard similarity of 0.8 or more), the document of the smallest id."""
+    return nearcopies.drop_near_copies(docs).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("SimHash near-dedup", one_of_each_group),
+    ("near-dedup", one_of_each_group),
     ("benchmark decontamination", without_benchmark),
     ("secret scans", without_secrets),
     ("packing", packed),

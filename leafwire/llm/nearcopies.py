@@ -1,0 +1,179 @@
+"""Near copies by the Jaccard similarity of word shingles, for the pipeline.
+
+A text is the set of its ``width``-word shingles, each a 64-bit hash; texts of one set are one
+class. Minima of ``bands`` times ``rows`` hash functions give each class its buckets: two
+classes of similarity s miss each other in all of them with probability
+``(1 - s ** rows) ** bands``, 3.2e-6 at 0.8. No class links to another before the similarity
+of their whole sets is computed.
+
+Each bucket's classes are first compared with its smallest one. What that leaves in more than
+one component is compared pair by pair, in pairs of blocks; a group of near copies is mostly one
+component by then, so that its pairs are not enumerated.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafwire.llm.common import keep, lookup, slices, texts
+from leafwire.llm.simhash import components, first_of_components
+
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS = 24, 4
+
+
+def shingles(data: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes; a text of fewer words is one shingle."""
+    words = data.lower().split()
+    line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(line, seed)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
+    starts = [0, *[x + 1 for x in ends[:-width]]]
+    return np.unique(np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[width - 1 :])], np.uint64))
+
+
+def name_of(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
+
+
+def buckets(found: np.ndarray, bands: int = BANDS, rows: int = ROWS, piece: int = 2048) -> np.ndarray:
+    """One signed 64-bit bucket for each band."""
+    r = np.random.default_rng(11)
+    odd = r.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), piece):
+        np.minimum(low, (found[i : i + piece, None] * odd).min(0), out=low)
+    low ^= low >> np.uint64(29)
+    mix = r.integers(0, 1 << 63, rows, np.uint64) * np.uint64(2) + np.uint64(1)
+    return (low.reshape(bands, rows) * mix).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, node (hash of the shingle set), bands of every row of ``docs``."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(x) for x in texts(batch)]
+            flat = np.concatenate([buckets(x) for x in sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name_of(x) for x in sets], pa.int64()), lists], ["doc_id", "node", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, bands array<long>")
+
+
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the hash of each row's shingle set."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.append_column(name, pa.array([name_of(shingles(x)) for x in texts(batch)], pa.int64()))
+
+    return docs.mapInArrow(run, f"{fields}, `{name}` long")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """node, items of the shingle set of every row of ``docs``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(x) for x in texts(batch)]
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "items"])
+
+    return docs.select("text").mapInArrow(run, "node long, items array<long>")
+
+
+def linked(sets: list[np.ndarray], roots: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
+    """Pairs of ``least`` similarity that join what ``roots`` leaves apart."""
+    sizes = np.array([len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+    first, at, label, out = np.cumsum(count) - count, np.cumsum(sizes) - sizes, roots.copy(), []
+    for i in range(len(sets)):
+        if (label == label[i]).all():
+            break
+        c = code[at[i] : at[i] + sizes[i]]
+        n = count[c]
+        shared = np.bincount(owners[np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
+        near = np.flatnonzero((shared / (sizes[i] + sizes - shared) >= least) & (label != label[i]))
+        names, which = np.unique(label[near], return_index=True)
+        out += [(i, int(j)) for j in near[which]]
+        label[np.isin(label, names)] = label[i]
+    return out
+
+
+def rest_links(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Edges (u, v) between the rows (t, k, node, root) of each bucket that has several roots."""
+    full = rows.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("t", "k", "n")
+    rows = rows.join(full, ["t", "k"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "root").join(sets, "node")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, roots, held = None, [], [], []
+
+        def edges() -> pa.RecordBatch:
+            found = linked(held, np.array(roots)) if held else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            items = batch.column("items")
+            for i, (g, node, root) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("g", "node", "root")))):
+                if g != group:
+                    yield edges()
+                    group, nodes, roots, held = g, [], [], []
+                nodes.append(node)
+                roots.append(root)
+                held.append(items[i].values.to_numpy())
+        yield edges()
+
+    return rows.select("g", "node", "root", "items").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, block: int = 500) -> DataFrame:
+    """doc_id, fingerprint (hash of the shingle set), component_id of every row of ``docs`` that has an id.
+
+    Components are those of the pairs whose shingle sets have a similarity of LEAST or more.
+    Null and empty texts are one class.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = keep(signatures(docs))
+    classes = keep(marked.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    rows = classes.select("node", "rep", F.posexplode("bands").alias("t", "k"))
+    full = rows.groupBy("t", "k").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("t", "k", "centre")
+    rows = keep(rows.join(full, ["t", "k"]))
+    wanted = lookup(rows.select(F.col("rep").alias("_id")).distinct())
+    sets = shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"))
+    sets = keep(sets.groupBy("node").agg(F.first("items").alias("items")))
+    pairs = rows.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("a", "b")))
+    edges = keep(pairs.where(F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= LEAST).select("u", "v"))
+    found = keep(components(edges))
+    rest = rows.where("node <> centre").join(found, "node", "left").select("t", "k", "node", F.coalesce("root", "node").alias("root"))
+    more = keep(rest_links(rest, sets, block))
+    if not more.isEmpty():
+        found = keep(components(edges.union(more)))
+    named = classes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = named.join(lowest, "root").select("node", "component_id")
+    return marked.select("doc_id", "node").join(label, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest id; all columns stay.
+
+    Rows without an id go by their text alone.
+    """
+    return first_of_components(docs, near_copies(docs), with_node)

@@ -14,7 +14,7 @@ the square of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,18 +204,26 @@ def with_fingerprint(docs: DataFrame, name: str, width: int = 3, seed: int = 42)
     return docs.mapInArrow(run, f"{fields}, `{name}` string")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each component, that of its smallest id; all columns stay.
+def first_of_components(docs: DataFrame, judged: DataFrame, printed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` with one row of each component of ``judged`` (doc_id, fingerprint, component_id).
 
-    Rows without an id go by their text alone. Of rows that share an id those stay whose
-    component it is the smallest id of, one for each fingerprint.
+    ``printed`` adds a row's fingerprint under a name.
     """
-    judged = keep(near_duplicates(docs, width, seed, radius).where("doc_id is not null"))
+    judged = keep(judged.where("doc_id is not null"))
     ids = keep(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")))
     gone = lookup(ids.where("not stays or n > 1").select(F.col("doc_id").alias("_id")))
     plain = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     again = lookup(ids.where("stays and n > 1").select(F.col("doc_id").alias("_id")))
-    repeated = with_fingerprint(docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi"), "_fp", width, seed)
+    repeated = printed(docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi"), "_fp")
     first = judged.where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
     repeated = repeated.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
     return plain.unionByName(repeated).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest id; all columns stay.
+
+    Rows without an id go by their text alone. Of rows that share an id those stay whose
+    component it is the smallest id of, one for each fingerprint.
+    """
+    return first_of_components(docs, near_duplicates(docs, width, seed, radius), lambda some, name: with_fingerprint(some, name, width, seed))

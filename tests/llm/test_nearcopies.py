@@ -1,0 +1,51 @@
+"""The pipeline's near-dedup stage against brute force over five-word shingles."""
+
+import random
+
+import corpus_pipeline
+from leafwire.llm import nearcopies
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([b" ".join(w)])
+
+
+def brute(plain):
+    sets = [shingles(t) for _, t in plain]
+    parent = list(range(len(plain)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(plain)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[top(i)] = top(j)
+    return {min(plain[j][0] for j in range(len(plain)) if top(j) == i) for i in range(len(plain)) if top(i) == i}
+
+
+def test_stage_drops_near_copies(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    plain = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, sf_dir).collect()} == brute(plain)
+
+
+def test_groups_of_near_copies(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    plain = []
+    for g in range(4):
+        base = [word() for _ in range(200)]
+        for _ in range(30):  # chains: neighbours are near, the ends are not
+            base = list(base)
+            base[r.randrange(200)] = word()
+            plain.append((len(plain), " ".join(base)))
+        plain += [(len(plain) + i, " ".join([*base[:150], *[word() for _ in range(50)]])) for i in range(20)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in plain], "doc_id long, text string, lang string, source string, n_chars long")
+    for block in (7, 500):
+        judged = nearcopies.near_copies(docs, block).collect()
+        assert {x["doc_id"] for x in judged if x["doc_id"] == x["component_id"]} == brute(plain)
