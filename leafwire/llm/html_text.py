@@ -3,14 +3,16 @@
 The standard library's parser is fed in pieces; its events make blocks, each with its text,
 tags and links. A block's text-to-tag ratio, zero in menus, adverts and other furniture, is
 smoothed by a Gaussian over its neighbours; two-means clustering of the smoothed ratios gives
-the threshold above which blocks are content. The container that holds the content is
-the article, and all of its blocks that are not furniture are its text, short ones too.
+the threshold above which blocks are content. The innermost container that holds all content,
+or the outermost article or main around it, is the article; without either it grows outwards
+while what it gains is not mostly links. All of its blocks that are not furniture are its
+text, short ones too.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -67,6 +69,9 @@ class Page(HTMLParser):
         self.owners = [0]  # parent of each container
         self.kinds = ["page"]
         self.off = self.links = self.articles = 0
+        #: open elements beyond DEPTH by tag, and the furniture among them with how often its tag is open
+        self.deep: Counter[str] = Counter()
+        self.sunk, self.sunk_tag = 0, ""
         #: text, characters in links, tags, container, furniture
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.parts: list[str] = []
@@ -82,6 +87,9 @@ class Page(HTMLParser):
         return self.stack[-1][2] if self.stack else 0
 
     def pop(self) -> None:
+        self.off -= self.sunk > 0
+        self.sunk = 0
+        self.deep.clear()
         tag, off, _ = self.stack.pop()
         self.off -= off
         self.links -= tag == "a"
@@ -113,6 +121,13 @@ class Page(HTMLParser):
         if tag in CELLS:
             self.parts.append(" ")
         if len(self.stack) >= DEPTH:
+            if self.sunk:
+                self.sunk += tag == self.sunk_tag
+            elif furniture(tag, attrs, self.articles > 0):
+                self.sunk, self.sunk_tag = 1, tag
+                self.off += 1
+            else:
+                self.deep[tag] += 1
             return
         off = furniture(tag, attrs, self.articles > 0)
         where = self.container()
@@ -134,6 +149,14 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if self.sunk and tag not in ("article", "main", "body", "html"):
+            if tag == self.sunk_tag:
+                self.sunk -= 1
+                self.off -= not self.sunk
+            return
+        if self.deep[tag]:
+            self.deep[tag] -= 1
+            return
         if any(x[0] == tag for x in self.stack):
             while self.stack[-1][0] != tag:
                 self.pop()
@@ -191,20 +214,33 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
                 if not at:
                     break
                 at = page.owners[at]
-    total = weight.get(0, 0)
-    if not total:
+    if not weight:
         return ""
-    named = [c for c in weight if page.kinds[c] in ("article", "main")]
-    if named:  # the innermost of those that hold most of the content
-        best = max(weight[c] for c in named)
-        chosen = max(c for c in named if weight[c] >= 0.9 * best)
-    else:
-        chosen = max(c for c in weight if weight[c] >= 0.8 * total)
+    # the innermost container that holds every block above the threshold, several articles included
+    chosen = max(c for c in weight if weight[c] == weight[0])
+    above = [chosen]
+    while above[-1]:
+        above.append(page.owners[above[-1]])
+    named = [c for c in above if page.kinds[c] in ("article", "main")]
+    if named:  # a lead may stand beside the inner article
+        chosen = named[-1]
+    else:  # a lead, heading or tail may stand beside the inner container, unless that is mostly links
+        length, plain = [0] * len(page.owners), [0] * len(page.owners)
+        for n, (t, _, _, c, off) in zip(own, blocks):
+            length[c] += len(t) * (not off)
+            plain[c] += n
+        for c in range(len(page.owners) - 1, 0, -1):
+            length[page.owners[c]] += length[c]
+            plain[page.owners[c]] += plain[c]
+        for c in above[1:]:
+            if 2 * (plain[c] - plain[chosen]) < length[c] - length[chosen]:
+                break
+            chosen = c
     within = {chosen}
     for c in range(chosen + 1, len(page.owners)):
         if page.owners[c] in within:
             within.add(c)
-    out = [t for t, n, _, c, off in blocks if t and not off and c in within and (named or n <= len(t) / 2)]
+    out = [t for t, _, _, c, off in blocks if t and not off and c in within]
     return "\n".join(out)
 
 
