@@ -25,14 +25,10 @@ LOOKUP_ROWS = 500_000
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only a session that has
-    none (a test on one machine) gets one of its own.
-    """
+    """Cut the lineage with a reliable checkpoint in :func:`shared_folder`."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafwire-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -84,9 +80,26 @@ def trim() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is set."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Only where none is set and all of Spark runs in one process is it a folder of this machine;
+    a cluster without the setting is an error, because its executors could not see such a folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="leafwire-")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="leafwire-")
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def remove(spark: SparkSession, path: str) -> None:

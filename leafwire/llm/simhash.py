@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint is the majority vote over the XXH64 values of a text's word
 shingles. Every bit position is given a fixed vector of ``radius + 1`` bits; each
-non-zero vector v makes one mask of the positions whose vector is orthogonal to v.
-Up to ``radius`` differing positions span too small a space to meet every v, so some
-mask misses all of them: each pair within the radius shares a bucket of some table.
+non-zero vector v makes one mask of the positions whose vector is not orthogonal to v.
+The vectors of up to ``radius`` differing positions span too small a space, so some v is
+orthogonal to all of them and its mask holds none: each pair within the radius shares a
+bucket of some table.
 
 Equal fingerprints are one class before anything is compared. A bucket with more
 classes than ``block`` is dealt out in pairs of blocks, and each task returns a star
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwire.llm.common import keep, lookup, slices, texts
+from leafwire.llm.common import keep, lookup, slices, texts, unused
 
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 LANES = (np.arange(8) * 256).astype(np.int64)
@@ -90,11 +91,15 @@ def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges between the rows of each group (rows are sorted by group) in reach of each other."""
+    """Star edges between the rows of each group (rows are sorted by group) in reach of each other.
+
+    A fingerprint is a row of one or more 64-bit words.
+    """
+    fps = fps.reshape(len(fps), -1)
     left, right = [], []
     lag, live = 1, np.arange(len(fps))
     while len(live := live[live + lag < len(fps)]) and len(live := live[group[live] == group[live + lag]]):
-        hit = live[np.bitwise_count(fps[live] ^ fps[live + lag]) <= radius]
+        hit = live[np.bitwise_count(fps[live] ^ fps[live + lag]).sum(1, dtype=np.int32) <= radius]
         left.append(hit)
         right.append(hit + lag)
         if sum(map(len, left)) > 1 << 20:  # fold what is linked so far into stars
@@ -109,42 +114,50 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndar
     return moved, label[moved]
 
 
-def links(classes: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that connect all in reach of each other."""
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks(radius))]))
-    rows = classes.select("fp", tables.alias("b")).select("fp", "b.t", "b.k")
-    full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(full, ["t", "k"])
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own)
+def stars(rows: DataFrame, words: list[str], radius: int, block: int) -> DataFrame:
+    """Edges (u, v) between nodes of ``rows`` (g, node, the fingerprint's words, n) that connect all
+    nodes of a bucket g in reach of each other; n: the bucket's rows, null if they are at most ``block``."""
+    rows = rows.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block).cast("int"), F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("t", "k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
+    pair = F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    rows = rows.select(pair.alias("g"), "node", *words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_g, held_f = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * (2 + len(words))
 
-        def linked(g: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            a, b = near_pairs(f.view(np.uint64), g, radius)
-            return pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], ["u", "v"])
+        def linked(g: np.ndarray, node: np.ndarray, *fps: np.ndarray) -> pa.RecordBatch:
+            a, b = near_pairs(np.stack(fps, 1).view(np.uint64), g, radius)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
         for batch in batches:
-            g = np.concatenate([held_g, batch.column("g").to_numpy()])
-            f = np.concatenate([held_f, batch.column("fp").to_numpy()])
-            cut = int(np.searchsorted(g, g[-1])) if len(g) else 0  # the last group may go on
-            held_g, held_f = g[cut:], f[cut:]
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("g", "node", *words))]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last group may go on
             if cut:
-                yield linked(g[:cut], f[:cut])
-        if len(held_g):
-            yield linked(held_g, held_f)
+                yield linked(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield linked(*held)
+
+    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
 
-    return rows.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "u long, v long").distinct()
+def links(classes: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints that connect all in reach of each other.
+
+    Buckets are named by a hash, which can only add comparisons. No order of rows, null or tie
+    matters: ``classes`` (fp) has each fingerprint once.
+    """
+    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks(radius))]))
+    rows = classes.select("fp", tables.alias("b")).select(F.xxhash64("b.t", "b.k").alias("g"), F.col("fp").alias("node"), "fp")
+    full = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    return stars(rows.join(full, "g"), ["fp"], radius, block)
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (u, v).
 
-    Alternates large-star and small-star steps; each is a partial minimum and an
+    Alternates large-star and small-star steps until nothing moves; each is a partial minimum and an
     equi-join, so a vertex with very many edges is split like any skewed join.
     """
 
@@ -162,15 +175,10 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     e = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    was = state(e)
-    for _ in range(most):
+    was, now = None, state(e)
+    while now != was:
         e = keep(star(star(e, True), False))
-        now = state(e)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
+        was, now = now, state(e)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))).distinct()
 
@@ -207,16 +215,17 @@ def with_fingerprint(docs: DataFrame, name: str, width: int = 3, seed: int = 42)
 def first_of_components(docs: DataFrame, judged: DataFrame, printed: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``docs`` with one row of each component of ``judged`` (doc_id, fingerprint, component_id).
 
-    ``printed`` adds a row's fingerprint under a name.
+    ``printed`` adds a row's fingerprint under a name; helper columns get names that ``docs`` does not have.
     """
+    key, mark, own = unused("_id", docs), unused("_print", docs), unused("_own", docs)
     judged = keep(judged.where("doc_id is not null"))
     ids = keep(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays")))
-    gone = lookup(ids.where("not stays or n > 1").select(F.col("doc_id").alias("_id")))
-    plain = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = lookup(ids.where("stays and n > 1").select(F.col("doc_id").alias("_id")))
-    repeated = printed(docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi"), "_fp")
-    first = judged.where("component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_print")).distinct()
-    repeated = repeated.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_print")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    gone = lookup(ids.where("not stays or n > 1").select(F.col("doc_id").alias(key)))
+    plain = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    again = lookup(ids.where("stays and n > 1").select(F.col("doc_id").alias(key)))
+    repeated = printed(docs.join(again, F.col("doc_id") == F.col(key), "left_semi"), own)
+    first = judged.where("component_id = doc_id").select(F.col("doc_id").alias(key), F.col("fingerprint").alias(mark)).distinct()
+    repeated = repeated.join(first, (F.col("doc_id") == F.col(key)) & (F.col(own) == F.col(mark)), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     return plain.unionByName(repeated).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 

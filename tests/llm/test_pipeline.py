@@ -8,6 +8,7 @@ from pathlib import Path
 import corpus_pipeline
 from leafwire.llm import quality, secrets, simhash
 from tests.llm import brute
+from tests.llm.test_similar import brute as near_copies
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -28,9 +29,9 @@ def test_stages(spark, sf_dir):
             keep = quality.scores(net, [t.encode() for _, t in before]) >= 0.7
             assert after == {d for (d, _), k in zip(before, keep) if k}
         elif i == 1:
-            assert after == {d for d, _, c in brute.near_duplicates(before) if d == c}
+            assert after == near_copies(before)
         elif i == 2:
-            assert after == {r[0] for r in brute.contamination(before, bench) if not r[5]}
+            assert after == {r[0] for r in brute.contamination(before, bench) if not r[3]}
         elif i == 3:
             for r in out.collect():
                 assert not brute.secret_spans(r["text"]) and r["n_chars"] == len(r["text"])
@@ -40,6 +41,19 @@ def test_stages(spark, sf_dir):
         docs = out
 
 
+def test_planted_passages_go_and_clean_documents_stay(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/../sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    some = [r["text"] for r in bench.orderBy("item_id").limit(5).collect()]
+    clean = [(i, f"word{i} " * 30 + "nothing of the benchmark stands here") for i in range(5)]
+    planted = [(100 + i, f"some text before {t} and some after") for i, t in enumerate(some)]
+    mine = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in clean + planted], docs.select(*corpus_pipeline.COLUMNS).schema)
+    assert {r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, mine, f"{sf_dir}/../sf0.01").collect()} == set(range(5))
+    got = {r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, f"{sf_dir}/../sf0.01").collect()}
+    rows = brute.contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
+    hit = {r[0] for r in rows if r[3]}
+    assert hit and got == {r[0] for r in rows} - hit
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 

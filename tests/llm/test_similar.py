@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from leafwire.llm import nearcopies
+from leafwire.llm import similar
 
 
 def shingles(text):
@@ -47,5 +47,30 @@ def test_groups_of_near_copies(spark):
         plain += [(len(plain) + i, " ".join([*base[:150], *[word() for _ in range(50)]])) for i in range(20)]
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in plain], "doc_id long, text string, lang string, source string, n_chars long")
     for block in (7, 500):
-        judged = nearcopies.near_copies(docs, block).collect()
+        judged = similar.near_copies(docs, block).collect()
         assert {x["doc_id"] for x in judged if x["doc_id"] == x["component_id"]} == brute(plain)
+
+
+def test_tables_catch_pairs_of_the_least_similarity():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for classes in (1000, 300_000):
+        plan = similar.tables(classes)
+        missed = 0
+        for _ in range(400):
+            same, own = r.integers(0, 1 << 63, 160, np.uint64), r.integers(0, 1 << 63, (2, 20), np.uint64)
+            prints = np.stack([similar.fingerprint(np.concatenate([same, x]), plan.words) for x in own])
+            a, b = similar.buckets(prints, plan)
+            missed += not (a == b).any() or np.bitwise_count(prints[0, -2:] ^ prints[1, -2:]).sum() > plan.reach
+        assert missed <= 3  # the expected number is under 0.3
+    assert similar.caught(20, 2, 0.0) == 1.0 and similar.tables(10**9).blocks > similar.tables(10**6).blocks
+
+
+def test_odd_rows(odd_docs, empty_docs):
+    judged = {(r["doc_id"], r["component_id"]) for r in similar.near_copies(odd_docs).collect()}
+    assert (6, 5) in judged and (7, 5) in judged and {(2, 2), (3, 2), (4, 2)} <= judged
+    clash = odd_docs.withColumnsRenamed({"words": "_id", "found": "_own", "lang": "_print"})
+    got = similar.drop_near_copies(clash)
+    assert got.columns == clash.columns and {r["_id"] for r in got.collect()} == {"clash"}
+    assert similar.near_copies(empty_docs).count() == 0
