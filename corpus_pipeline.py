@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwire.llm import decontaminate, nearcopies, packing, quality, secrets
+from leafwire.llm import decontaminate, similar, packing, quality, secrets
 from leafwire.llm.common import remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,12 +21,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word Jaccard similarity of 0.8 or more), the document of the smallest id."""
-    return nearcopies.drop_near_copies(docs).select(*COLUMNS)
+    return similar.drop_near_copies(docs).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents in which no window of any benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), least=1).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup", one_of_each_group),
+    ("SimHash near-dedup", one_of_each_group),
     ("benchmark decontamination", without_benchmark),
     ("secret scans", without_secrets),
     ("packing", packed),
