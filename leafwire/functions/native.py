@@ -47,23 +47,57 @@ def strip_markers(text: Column | str) -> Column:
     return F.regexp_replace(opened, r"(?:\A|\n)(?:<\|raif_end\|>|</raif>)\s*\z", "")
 
 
+def number_text(x: Column) -> Column:
+    """A double as JSON writes it: whole ones by all their digits, others by the shortest ones, with an exponent below 1e-4.
+
+    Null for infinities and for whole numbers of 2 ** 115 and more, which the codec reads.
+    """
+    size, high = F.abs(x), F.floor(x / 2.0**53)
+    whole = F.when(size < 9.0e18, x.try_cast("bigint").cast("string")).when(
+        size < 2.0**115, (high.try_cast("decimal(19,0)") * F.lit(2**53).cast("decimal(16,0)") + (x - high * 2.0**53).try_cast("decimal(16,0)")).cast("string")
+    )
+    plain = F.regexp_replace(x.try_cast("decimal(38,20)").cast("string"), r"0+\z", "")
+    tiny = F.regexp_replace(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "E"), "E-", "e-"), r"e-([0-9])\z", "e-0$1")
+    return F.when(x == F.rint(x), whole).when(size >= 1.0e-4, plain).otherwise(tiny)
+
+
 def infer_scalar(raw: Column | str) -> Column:
-    """JSON text of a bare scalar: word, number by way of a double, else a string. Wrapped text unwraps once."""
+    """JSON text of a bare scalar: word, number by way of a double, else a string. Wrapped text unwraps once.
+
+    Null for a number that overflows, which the codec refuses, and where :func:`number_text` is null.
+    """
     raw = _col(raw)
     number = raw.rlike(r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z")
-    x = raw.try_cast("double")
-    whole = (x == F.floor(x)) & (F.abs(x) < 9.0e15)
     wrapped = raw.startswith("<<<") & raw.endswith(">>>") & (F.length(raw) >= 6)
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
     return (
         F.when(wrapped, quoted(F.substring(raw, F.lit(4), F.length(raw) - 6)))
         .when(raw.isin("true", "false", "null", "[]", "{}"), raw)
-        .when(number & whole, x.cast("bigint").cast("string"))
-        .when(number, x.cast("string"))
+        .when(number, number_text(raw.try_cast("double")))
         .otherwise(quoted(raw))
     )
 
 
+#: A line that is neither blank nor a plain ``name=value`` without any sign that means more to the format.
+UNUSUAL = r"(?m)^(?! *$)(?![^=:.\[\]<>{}`\n]+=[^<>{}\[\]`\n]*$)"
+
+
+def simple_value(raw: Column | str) -> Column:
+    """The canonical value of a record of nothing but plain ``name=value`` lines in printable ASCII, names all different.
+
+    Null for any other record, and for null: the codec reads those.
+    """
+    text = F.btrim(_col(raw), F.lit(" \n"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
+    leaves = F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1).alias("name"), infer_scalar(F.regexp_replace(x, r"\A[^=]*=", "")).alias("value")))
+    names = F.transform(leaves, lambda x: x["name"])
+    usable = ~F.exists(leaves, lambda x: x["value"].isNull()) & (F.size(F.array_distinct(names)) == F.size(names))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(leaves), lambda x: F.concat(quoted(x["name"]), F.lit(":"), x["value"])), ","), F.lit("}"))
+    plain = _col(raw).rlike(r"\A[\x20-\x7e\n]*\z") & ~text.rlike(UNUSUAL)
+    return F.when(plain, F.when(usable, whole))
+
+
 def strip_think(text: Column | str) -> Column:
     """A reply without one leading block of thoughts."""
     return F.regexp_replace(_col(text), r"(?U)\A\s*(?s:<think>.*?</think>)\s*", "")
@@ -99,9 +133,36 @@ def prompt(details: Column | str, schema: Column | str) -> Column:
     return F.concat_ws("\n\n", _col(details), _col(schema))
 
 
+# Licence id, its name and link, and the attribution that each family of base models asks for.
+LICENSES = {
+    "qwen": ("apache-2.0", "Apache License 2.0", "https://www.apache.org/licenses/LICENSE-2.0", "Built with Qwen"),
+    "llama": ("llama3.2", "Llama 3.2 Community License", "https://www.llama.com/llama3_2/license/", "Built with Llama"),
+}
+
+
+def license_family(model: Column | str) -> Column:
+    return F.when(F.lower(_col(model)).contains("qwen"), "qwen").otherwise("llama")
+
+
 def license_of(model: Column | str) -> Column:
     """Licence id of a base model's family."""
-    return F.when(F.lower(_col(model)).contains("qwen"), "apache-2.0").otherwise("llama3.2")
+    return license_details(model)["id"]
+
+
+def license_details(model: Column | str) -> Column:
+    """family, id, name, link and attribution."""
+    family = license_family(model)
+    part = lambda i: F.when(family == "qwen", LICENSES["qwen"][i]).otherwise(LICENSES["llama"][i])
+    return F.struct(family.alias("family"), part(0).alias("id"), part(1).alias("name"), part(2).alias("link"), part(3).alias("attribution"))
+
+
+#: How many characters of a text each report shows.
+SHOWN = {"mismatch": 120, "error": 160, "gold": 200, "prompt": 240, "output": 400}
+
+
+def shortened(text: Column | str, report: str = "output") -> Column:
+    """The start of a text, as long as the report shows."""
+    return F.substring(_col(text), 1, SHOWN[report])
 
 
 def byte_delta(record: Column | str, minified: Column | str) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwire.functions import codec, grammar, trees
+from leafwire.functions import codec, grammar, native, trees
 
 REPAIRS = "array<struct<kind:string,detail:string>>"
 STRICT = f"struct<ok:boolean,value:string,error:string,repairs:{REPAIRS}>"
@@ -97,9 +97,22 @@ def decode_lenient(text: Column | str, schema: Column | str | None = None, one_e
 
 
 def decoded(df: DataFrame, text: str, into: str = "decoded", schema: str | None = None, lenient: bool = False) -> DataFrame:
-    """``df`` with a decode column that is evaluated once a record, however it is used."""
+    """``df`` with a decode column that is evaluated once a record, however it is used.
+
+    Without a schema, records of plain lines are read by Catalyst expressions
+    (:func:`leafwire.functions.native.simple_value`) and only the others go to Python.
+    """
     f = decode_lenient if lenient else decode
-    return df.withColumn(into, f(text, schema, one_evaluation=True))
+    if schema is not None:
+        return df.withColumn(into, f(text, schema, one_evaluation=True))
+    fast = "_simple"
+    while fast in df.columns:
+        fast = f"_{fast}"
+    rows = df.withColumn(fast, native.simple_value(text))
+    rows = rows.withColumn(into, f(F.when(F.col(fast).isNull(), F.col(text)), one_evaluation=True))
+    none = F.lit(None).cast("string")
+    read = F.struct(F.col(fast).alias("value"), F.array().cast("array<struct<line:int,key:string,error:string>>").alias("errors"), F.array().cast(REPAIRS).alias("repairs"), F.lit(False).alias("truncated")) if lenient else F.struct(F.lit(True).alias("ok"), F.col(fast).alias("value"), none.alias("error"), F.array().cast(REPAIRS).alias("repairs"))
+    return rows.withColumn(into, F.when(F.col(fast).isNotNull(), read).otherwise(F.col(into))).drop(fast)
 
 
 def record_leaves(text: Column | str) -> Column:
@@ -183,3 +196,21 @@ def accepts(text: Column | str, rules: str = grammar.RECORDS) -> Column:
 
 def repair_kinds(result: Column) -> Column:
     return F.transform(result["repairs"], lambda x: x["kind"])
+
+
+def batch_result(result: Column) -> Column:
+    """ok, value (where ok), repairs (their number), error (where not ok) of a strict decode."""
+    ok = result["ok"]
+    return F.struct(ok.alias("ok"), F.when(ok, result["value"]).alias("value"), F.size(result["repairs"]).alias("repairs"), F.when(~ok, result["error"]).alias("error"))
+
+
+@lru_cache(maxsize=4)
+def tokenizer(path: str) -> Any:
+    from tokenizers import Tokenizer  # only where tokens are asked for
+
+    return Tokenizer.from_file(path)
+
+
+def token_count(text: Column | str, path: str) -> Column:
+    """Tokens of a text by the tokenizer whose file is at ``path`` on every machine."""
+    return batched("long", pa.int64(), lambda t: len(tokenizer(path).encode(t, add_special_tokens=False).ids))(text)

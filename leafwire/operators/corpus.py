@@ -64,9 +64,16 @@ def valid_share(synthetic_valid: int, shapes: int) -> int:
 
 
 def dedupe_text(df: DataFrame, text: str = "text", key: str = "rec_id") -> DataFrame:
-    """One row of each text, that of the smallest key."""
-    least = df.groupBy(text).agg(F.min(F.struct(key, *[c for c in df.columns if c not in (text, key)])).alias("_f"))
-    return least.select(*[F.col(text) if c == text else F.col(f"_f.{c}").alias(c) for c in df.columns])
+    """One row of each text, that of the smallest key (any of rows that are equal in both).
+
+    Texts are not shuffled: their 256-bit digests and lengths are grouped, and the rows are found again by
+    digest and key.
+    """
+    digest, least = F.sha2(F.col(text), 256), "_least"
+    named = df.withColumn("_digest", F.concat_ws("/", F.coalesce(digest, F.lit("null")), F.octet_length(text).cast("string")))
+    first = named.groupBy("_digest").agg(F.min(key).alias(least)).withColumnRenamed("_digest", "_of")
+    kept = named.join(first, (F.col("_digest") == F.col("_of")) & F.col(key).eqNullSafe(F.col(least)), "left_semi")
+    return kept.dropDuplicates([key, "_digest"]).select(*df.columns)
 
 
 def dedupe_json(df: DataFrame, value: str, key: str = "rec_id") -> DataFrame:

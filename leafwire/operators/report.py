@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafwire.functions import native
 from leafwire.operators import evaluate
 from leafwire.sources.jsonl import write_document
 
@@ -38,17 +39,27 @@ def summary(document: dict) -> str:
     return "\n".join(lines)
 
 
-def model_card(document: dict, base_model: str, run: dict | None = None) -> str:
-    """Markdown of an evaluation and its run; groups without rows are left out."""
-    qwen = "qwen" in base_model.lower()
+def model_card(document: dict, base_model: str, run: dict | None = None, tokens: dict[str, float] | None = None) -> str:
+    """Markdown of an evaluation and its run; groups without rows are left out.
+
+    ``run``: facts of the run (see :func:`run_record`), of which ``final_loss``, ``data`` and ``hyperparameters`` are
+    shown; ``tokens``: the token ratio of each group.
+    """
+    run = run or {}
+    license_id, license_name, link, attribution = native.LICENSES["qwen" if "qwen" in base_model.lower() else "llama"]
     rows = [f"| {name} | {percent(g['parse'], g['n'])} | {percent(g['fidelity'], g['n'])} | {g['n']} |" for name, g in document["groups"].items() if g["n"]]
-    loss = (run or {}).get("final_loss")
+    loss = run.get("final_loss")
     parts = [
-        f"---\nlicense: {'apache-2.0' if qwen else 'llama3.2'}\nbase_model: {base_model}\n---",
+        f"---\nlicense: {license_id}\nbase_model: {base_model}\n---",
         "| group | parse | fidelity | n |\n|---|---|---|---|\n" + "\n".join(rows),
         f"Final loss: {f'{loss:.4g}' if isinstance(loss, int | float) else '—'}",
-        "Built with Qwen" if qwen else "Built with Llama",
     ]
+    if tokens:
+        parts.append("## Tokens against JSON\n\n" + "\n".join(f"* {name}: {ratio:.2f}" for name, ratio in tokens.items()))
+    for title, facts in (("Data", run.get("data")), ("Hyperparameters", run.get("hyperparameters"))):
+        if facts:
+            parts.append(f"## {title}\n\n" + "\n".join(f"* {k}: {v}" for k, v in facts.items()))
+    parts.append(f"## License\n\n{license_name} ({link}). {attribution}.")
     return "\n\n".join(parts) + "\n"
 
 

@@ -198,10 +198,13 @@ def extract_json_fenced(spark, sf_dir):
     return found.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("sum_k"))
 
 
-@query("""select 'k' as path, 'number' as type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as sum_leaf from events""")
+@query("""select path, type, count(*) as n, count(distinct leaf) as leaves from (select unnest([{'path': 'key', 'type': 'number', 'leaf': cast(o_orderkey as varchar)}, {'path': 'tags[0]', 'type': 'string', 'leaf': '"' || o_orderstatus || '"'},
+{'path': 'tags[1].late', 'type': 'boolean', 'leaf': case when o_orderkey % 2 = 0 then 'true' else 'false' end}, {'path': 'a.none', 'type': 'string', 'leaf': 'null'}]) as x from orders), lateral (select x.path as path, x.type as type, x.leaf as leaf) group by 1, 2""")
 def flatten_leaves(spark, sf_dir):
-    rows = evaluate.leaf_table(table(spark, sf_dir, "events"), "props", "event_id")
-    return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.sum(F.col("leaf").cast("long")).alias("sum_leaf"))
+    """Objects in arrays, nulls and empty containers: the last have no leaves."""
+    text = F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(',"tags":["'), "o_orderstatus", F.lit('",{"late":'), flag(F.col("o_orderkey") % 2 == 0), F.lit('}],"a":{"none":null,"empty":{},"list":[]}}'))
+    rows = evaluate.leaf_table(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), text.alias("json")), "json")
+    return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.count_distinct("leaf").alias("leaves"))
 
 
 def order_json(*more: Column) -> Column:
@@ -259,9 +262,14 @@ def holdout_leak(spark, sf_dir):
     return hygiene.leaks(splits(spark, sf_dir), ("es",))
 
 
-@query(f"""select 'holdout_purity' as "check", 'WARN' as level, 'xx' as subject, 'no rows' as detail""")
+@query(f"""select 'holdout_purity' as "check", 'FAIL' as level, shape as subject, 'not a holdout shape' as detail from (select distinct source || '/' || lang as shape from documents where lang in ('es', 'fr')) where shape not in (select distinct source || '/es' from documents)
+union all select 'holdout_purity', 'WARN', 'xx', 'no rows'""")
 def holdout_purity(spark, sf_dir):
-    return hygiene.purity(splits(spark, sf_dir), ("es", "xx"))
+    """Shapes are sources by language; French ones stand in the holdout where only Spanish ones may."""
+    shape = F.concat_ws("/", "source", "lang")
+    docs = table(spark, sf_dir, "documents").where("lang in ('es', 'fr')").select(F.lit("holdout").alias("split"), shape.alias("shape"))
+    allowed = [r["shape"] for r in docs.where(F.col("shape").endswith("/es")).distinct().collect()]  # a few sources
+    return hygiene.purity(docs, (*allowed, "xx"))
 
 
 @query("""select conv_id, turn, md5(text) as prompt, md5(reply) as reply from (select conv_id, turn, role, text, lead(role) over w as next, lead(text) over w as reply from conversations window w as (partition by conv_id order by turn)) where role = 'user' and next = 'assistant'""")
@@ -288,10 +296,10 @@ def dedupe_text(spark, sf_dir):
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as gold and reply: every 10th reply is prose, every 7th has another status, every 20th gold is unreadable."""
+    """Orders as gold and reply: every 10th reply is prose, every 7th has another status, every 3rd of the rest is fenced, every 20th gold is unreadable."""
     k = F.col("o_orderkey")
     gold = lines(id="o_orderkey", status="o_orderstatus")
-    reply = F.when(k % 10 == 0, "nothing to say").when(k % 7 == 0, lines(id="o_orderkey", status=F.lit("?"))).otherwise(gold)
+    reply = F.when(k % 10 == 0, "nothing to say").when(k % 7 == 0, lines(id="o_orderkey", status=F.lit("?"))).when(k % 3 == 0, F.concat(F.lit("```\n"), gold, F.lit("\n```"))).otherwise(gold)
     grp = F.when(k % 2 == 0, "valid").otherwise("holdout")
     return table(spark, sf_dir, "orders").select(k.alias("rec_id"), grp.alias("grp"), F.when(k % 20 == 0, "unreadable").otherwise(gold).alias("gold"), reply.alias("candidate"), order_json().alias("base"))
 
@@ -299,7 +307,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = """select case when o_orderkey % 2 = 0 then 'valid' else 'holdout' end as grp,
 count(*) filter (where o_orderkey % 20 <> 0 and o_orderkey % 10 <> 0) as parse,
 count(*) filter (where o_orderkey % 20 <> 0 and o_orderkey % 10 <> 0 and o_orderkey % 7 <> 0) as fidelity,
-0::bigint as repaired, count(*) filter (where o_orderkey % 20 <> 0) as n, count(*) filter (where o_orderkey % 20 = 0) as skipped from orders group by 1"""
+count(*) filter (where o_orderkey % 20 <> 0 and o_orderkey % 10 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 3 = 0) as repaired, count(*) filter (where o_orderkey % 20 <> 0) as n, count(*) filter (where o_orderkey % 20 = 0) as skipped from orders group by 1"""
 
 
 @query(SCORES_SQL)
@@ -314,10 +322,20 @@ def gate_eval(spark, sf_dir):
     return evaluate.checks(score_pairs(spark, sf_dir)).select("stage", "metric", "ok")
 
 
-@query("""select case when o_orderkey % 2 = 0 then 'valid' else 'holdout' end as grp, count(*) as n, count(*) filter (where o_orderkey % 10 <> 0) as record_parse,
-count(*) as base_parse, sum(length('{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}'))::bigint as base_bytes from orders group by 1""")
+@query("""with p as (select case when o_orderkey % 2 = 0 then 'valid' else 'holdout' end as grp, o_orderkey % 20 <> 0 as gold, o_orderkey % 10 <> 0 as parses, o_orderkey % 10 <> 0 and o_orderkey % 7 <> 0 as faithful,
+case when o_orderkey % 10 = 0 then 'nothing to say' when o_orderkey % 7 = 0 then 'id=' || o_orderkey || chr(10) || 'status=?' when o_orderkey % 3 = 0 then '```' || chr(10) || 'id=' || o_orderkey || chr(10) || 'status=' || o_orderstatus || chr(10) || '```'
+else 'id=' || o_orderkey || chr(10) || 'status=' || o_orderstatus end as record,
+case when o_orderkey % 9 = 0 then 'no json' when o_orderkey % 5 = 0 then 'Sure: {"id": ' || o_orderkey || ', "status": "' || o_orderstatus || '"} there' else '{"status":"?","id":' || o_orderkey || '}' end as base,
+o_orderkey % 9 <> 0 as base_parses, o_orderkey % 9 <> 0 and o_orderkey % 5 = 0 as base_right from orders)
+select grp, count(*) as n, count(*) filter (where parses) as record_parse, count(*) filter (where gold and faithful) as record_fidelity, count(*) filter (where base_parses) as base_parse, count(*) filter (where gold and base_right) as base_fidelity,
+sum(strlen(record))::bigint as record_bytes, sum(strlen(base))::bigint as base_bytes, round(avg(len(list_filter(string_split_regex(record, '\\s+'), lambda x: x <> ''))), 6) as record_words, round(avg(len(list_filter(string_split_regex(base, '\\s+'), lambda x: x <> ''))), 6) as base_words,
+round(sum(strlen(record)) / sum(strlen(base)), 6) as ratio from p group by 1""")
 def compare_candidates(spark, sf_dir):
-    return evaluate.compare(pairs(spark, sf_dir)).select("grp", "n", "record_parse", "base_parse", "base_bytes")
+    k = F.col("o_orderkey")
+    base = F.when(k % 9 == 0, "no json").when(k % 5 == 0, F.concat(F.lit('Sure: {"id": '), k.cast("string"), F.lit(', "status": "'), "o_orderstatus", F.lit('"} there'))).otherwise(F.concat(F.lit('{"status":"?","id":'), k.cast("string"), F.lit("}")))
+    rows = pairs(spark, sf_dir).drop("base").join(table(spark, sf_dir, "orders").select(k.alias("rec_id"), base.alias("base")), "rec_id")
+    found = evaluate.compare(rows)
+    return found.withColumns({c: F.round(c, 6) for c in ("record_words", "base_words", "ratio")})
 
 
 @query("""select rank, path, count(*) as n from (select case o_orderkey % 4 when 0 then 1 when 1 then 2 else 3 end as rank, case o_orderkey % 4 when 2 then 'key' else 'status' end as path from orders where o_orderkey % 4 <> 3) group by 1, 2""")
@@ -430,29 +448,51 @@ def ingest_lossless(spark, sf_dir):
     return corpus.ingest(rows, "raw", "value").select("rec_id", F.from_json("value", "size int")["size"].alias("p_size"))
 
 
-@query("""select p_partkey, cast(p_size as varchar) as size, '"' || p_name || '"' as name, cast(p_size > 25 as varchar) as big from part""")
+#: Spellings of numbers and the JSON that the format's rules give them; null: refused.
+NUMBERS = {
+    "-0": "0", "-0.0": "0", "9007199254740993": "9007199254740992", "123456789012345678": "123456789012345680", "1e16": "10000000000000000", "12345678901234567890123": "12345678901234567741440", "1e3": "1000", "2.50": "2.5", "1e999": None, "-1E400": None,
+    "0.0001": "0.0001", "1e-7": "1e-07", "1.25e-5": "1.25e-05", "12345678.5": "12345678.5", "0.1": "0.1", "1e22": "10000000000000000000000", "007": '"007"', "+1": '"+1"', "1.": '"1."', "٣": '"٣"', "3e-12": "3e-12", "123456.789e3": "123456789",
+}
+NUMBERS_SQL = ", ".join("('{}', {})".format(k, "null" if v is None else f"'{v}'") for k, v in NUMBERS.items())
+
+
+@query(f"""select p_partkey, cast(p_size as varchar) as size, '"' || p_name || '"' as name, cast(p_size > 25 as varchar) as big, x.value as number from part, (select row_number() over () - 1 as i, v, value from (values {NUMBERS_SQL}) as t(v, value)) as x where p_partkey % {len(NUMBERS)} = x.i""")
 def infer_scalars(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), "p_name", flag(F.col("p_size") > 25).alias("big"))
-    return rows.select("p_partkey", native.infer_scalar("size").alias("size"), native.infer_scalar("p_name").alias("name"), native.infer_scalar("big").alias("big"))
+    number = F.element_at(F.array(*[F.lit(v) for v in NUMBERS]), (F.col("p_partkey") % len(NUMBERS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), "p_name", flag(F.col("p_size") > 25).alias("big"), number.alias("number"))
+    return rows.select("p_partkey", *[native.infer_scalar(c).alias(name) for c, name in (("size", "size"), ("p_name", "name"), ("big", "big"), ("number", "number"))])
 
 
-@query("""select count(*) as n, count(*) as fenced, count(*) as crlf, count(*) as marked from customer""")
+@query("""select count(*) as n, count(*) as fenced, count(*) as crlf, count(*) as marked, count(*) as trimmed, (3 * count(*))::bigint as kept from customer""")
 def native_surface(spark, sf_dir):
     raw = lines(id="c_custkey", name="c_name")
     rows = table(spark, sf_dir, "customer").select(raw.alias("raw"), *[mutate.WRAPS[w](raw).alias(w) for w in ("fence", "crlf", "markers")])
+    space = "\ufeff\u2003\u00a0 \t\n"  # of the format's own set; NEL is not in it
+    half = F.concat("raw", F.lit("\nlast\r\nend"))
+    same = lambda f, c: F.when(f(c) == c, 1).otherwise(0)
+    kept = same(native.strip_fence, F.concat(F.lit("a ```\n"), "raw", F.lit("\n```"))) + same(native.normalize_crlf, half) + same(native.trim_record, F.concat(F.lit("\x85"), "raw", F.lit("\x1c")))
     return rows.agg(
         F.count("*").alias("n"),
         F.count_if(native.strip_fence("fence") == F.col("raw")).alias("fenced"),
         F.count_if(native.normalize_crlf("crlf") == F.col("raw")).alias("crlf"),
         F.count_if(native.strip_markers("markers") == F.col("raw")).alias("marked"),
+        F.count_if(native.trim_record(F.concat(F.lit(space), "raw", F.lit(space))) == F.col("raw")).alias("trimmed"),
+        F.sum(kept).cast("long").alias("kept"),
     )
 
 
-@query("""select v.variant, count(*) as n, count(*) filter (where v.variant <> 'garbage') as n_ok from customer,
-(values ('coerce_separator'), ('duplicate'), ('shrink_delimiters'), ('other_nonce'), ('garbage'), ('reverse'), ('indent')) as v(variant) group by 1""")
+@query("""select v.variant, count(*) as n, count(*) filter (where v.ok) as n_ok, count(*) filter (where v.same) as n_same, coalesce(v.kinds, '') as kinds from customer,
+(values ('coerce_separator', true, true, 'separator_coerced'), ('duplicate', true, false, 'repeated_keys_indexed'), ('shrink_delimiters', true, true, 'delimiter_count_repaired'), ('other_nonce', true, true, 'mismatched_nonce_recovered'),
+('garbage', false, false, ''), ('reverse', false, false, ''), ('indent', true, false, 'unterminated_block_closed_at_eof')) as v(variant, ok, same, kinds) group by v.variant, v.kinds""")
 def structural_damage(spark, sf_dir):
-    rows = mutate.damage(table(spark, sf_dir, "customer").select(lines(id="c_custkey", name="c_name").alias("raw")))
-    return udfs.decoded(rows, "raw").groupBy("variant").agg(F.count("*").alias("n"), F.count_if("decoded.ok").alias("n_ok"))
+    """Records with a block: each variant's readability, value and repairs."""
+    raw = F.concat(lines(id="c_custkey"), F.lit("\nnote=<<<7f2a\nsome words of "), "c_name", F.lit("\nand more\n>>>7f2a"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("some words of "), "c_name", F.lit("\nand more")).alias("note"), raw.alias("raw"))
+    rows = udfs.decoded(mutate.damage(rows), "raw").withColumn("v", value("id string, note string"))
+    same = (F.col("v.id") == F.col("c_custkey").cast("string")) & (F.col("v.note") == F.col("note"))
+    kinds = F.array_join(F.array_sort(F.array_distinct(udfs.repair_kinds(F.col("decoded")))), ",")
+    rows = rows.withColumns({"same": F.coalesce(F.col("decoded.ok") & same, F.lit(False)), "kinds": F.when(F.col("decoded.ok"), kinds).otherwise("")})
+    return rows.groupBy("variant", "kinds").agg(F.count("*").alias("n"), F.count_if("decoded.ok").alias("n_ok"), F.count_if("same").alias("n_same"))
 
 
 @query("""select count(*) as n, count(*) filter (where o_orderkey % 3 = 0) as n_sparse, count(*) as n_kept from orders""")

@@ -40,6 +40,19 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return read_examples(spark, path, PROMPTS, missing_ok=False)
 
 
+#: Fixed value: the order in which the files of a corpus are read.
+FILE_ORDER = ("valid", "holdout", "train")
+
+
+def read_replies(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """split, place (of its file in FILE_ORDER), content: the assistant's texts of all files that are there."""
+    parts = [replies(read_examples(spark, paths[name], PROMPTS)).select(F.lit(name).alias("split"), F.lit(i).alias("place"), "content") for i, name in enumerate(FILE_ORDER) if name in paths]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str = EXAMPLE) -> DataFrame:
     """All splits with a column ``split``; those without a file are left out."""
     parts = [read_examples(spark, p, schema).withColumn("split", F.lit(name)) for name, p in paths.items()]
