@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a few ids that a lookup may broadcast, about 50 MB; more are joined by shuffle.
-LOOKUP_ROWS = 500_000
+#: Rows of a few ids, and bytes of their strings, that a lookup may broadcast; more are joined by shuffle.
+LOOKUP_ROWS, LOOKUP_BYTES = 500_000, 32 << 20
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -32,11 +32,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """A table of ids, checkpointed and counted: broadcast if it has few rows, so that what is
-    looked up need not be shuffled, and else as it is."""
-    kept = keep(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+def small(kept: DataFrame, rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES) -> DataFrame:
+    """A written or checkpointed table, measured: broadcast if it has few rows and bytes, and else as it is."""
+    strings = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in kept.schema if f.dataType.simpleString() in ("string", "binary")]
+    n, *held = kept.agg(F.count("*"), *strings).first()
+    return F.broadcast(kept) if n <= rows and sum(held) <= size else kept
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A table of ids, checkpointed: broadcast if it is small, so that what is looked up need not be
+    shuffled, and else joined by shuffle."""
+    return small(keep(df))
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwire.llm.common import lookup
+from leafwire.llm.common import lookup, unused
 
 try:
     from re import _constants as K
@@ -180,23 +180,26 @@ def spans(rule: Rule, rank: int) -> Column:
     )
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The rows of ``docs`` with ``text`` non-null and a column ``found``: all spans, by start, then rule order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, name: str = "found") -> DataFrame:
+    """The rows of ``docs`` with ``text`` non-null and a column ``name``: all spans, by start, then rule order.
 
     A null or empty text has no spans. Rows that share a doc_id, or have none, are scanned
-    one by one. ``docs`` may not have columns named ``found`` or ``is_<kind>``.
+    one by one. Columns of any other name stay as they are; one named ``name`` is an error.
     """
+    if unused(name, docs) != name:
+        raise ValueError(f"the documents have a column named {name}")
     trigrams = vocabulary(rules)
     listed = [r.kind for r in rules if frozenset() not in trigram_query(r.regex)]
-    hits = lookup(candidates(postings(docs, trigrams), trigrams, rules).withColumnRenamed("doc_id", "_posted"))
+    posted, marks = unused("_posted", docs), {k: unused(f"_is_{k}", docs) for k in listed}
+    hits = lookup(candidates(postings(docs, trigrams), trigrams, rules).withColumnsRenamed({"doc_id": posted} | {f"is_{k}": m for k, m in marks.items()}))
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_posted")), "left")
+    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col(posted)), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     each = []
     for rank, rule in enumerate(rules):
-        asked = F.coalesce(F.col(f"is_{rule.kind}"), F.lit(False)) if rule.kind in listed else F.lit(True)
+        asked = F.coalesce(F.col(marks[rule.kind]), F.lit(False)) if rule.kind in listed else F.lit(True)
         each.append(F.when(asked & F.col("text").rlike(rule.regex), spans(rule, rank)).otherwise(none))
-    return rows.withColumn("found", F.array_sort(F.concat(*each))).drop("_posted", *[f"is_{k}" for k in listed])
+    return rows.withColumn(name, F.array_sort(F.concat(*each))).drop(posted, *marks.values())
 
 
 def listing(found: Column) -> Column:
@@ -204,17 +207,17 @@ def listing(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each stretch that spans cover replaced by ``mark``; other columns and clean texts stay."""
-    names = docs.columns
-    found = scan(docs.withColumn("_none", F.col("text").isNull()), rules)
+    """``docs`` with each stretch that spans cover replaced by ``mark``; other columns, of whatever name, and clean or null texts stay."""
+    names, spans_, none = docs.columns, unused("found", docs), unused("_none", docs)
+    found = scan(docs.withColumn(none, F.col("text").isNull()), rules, spans_)
     begun = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def merge(acc: Column, x: Column) -> Column:
         piece = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         return F.struct(F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    whole = F.aggregate("found", begun, merge, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = found.withColumn("text", F.when(F.size("found") > 0, whole).when(~F.col("_none"), F.col("text")))
+    whole = F.aggregate(spans_, begun, merge, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    clean = found.withColumn("text", F.when(F.size(spans_) > 0, whole).when(~F.col(none), F.col("text")))
     return clean.select(*names)
 
 
