@@ -1,11 +1,14 @@
 """Nearest neighbours by cosine with a vantage-point tree for each shard.
 
 Equal vectors are one class with its smallest ids, so a vector that very many rows share
-is one entry. Classes are dealt into shards of a bounded size; each shard becomes a tree
-over unit vectors, whose Euclidean distance is a metric and orders like the cosine. A
-side of a node is skipped when, by the triangle inequality, it lies further than the
-query's k-th best distance times ``factor``: factor 1 is exact, less prunes more. Queries
-come in blocks and walk a tree together.
+is one entry. Classes are unit vectors, whose Euclidean distance is a metric and orders like the cosine.
+A bounded sample of them are the vantage points of the top level: each class goes to the cell of the
+nearest one, and a cell of more than ``shard_rows`` classes is dealt into several shards. Each shard
+becomes a vantage-point tree.
+
+A query first searches its own cell, then each cell whose lower bound by the triangle inequality is not
+over its k-th best distance times ``factor``; the sides of a tree's nodes are skipped by the same rule.
+Factor 1 is exact, less prunes more. Queries of a cell come in blocks and walk a tree together.
 """
 
 from __future__ import annotations
@@ -18,7 +21,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32
+from leafwire.llm.common import keep
+
+LEAF = 256
+#: Distances are rounded; what ties within this is decided by the exact cosine and the id.
+SLACK = 1e-6
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
+
+
+def units(full: np.ndarray) -> np.ndarray:
+    unit = full / np.abs(full).max(1, keepdims=True)  # first, so that squares neither vanish nor overflow
+    return unit / np.sqrt((unit**2).sum(1, keepdims=True))
 
 
 def build(unit: np.ndarray, seed: int = 0, leaf: int = LEAF) -> dict[str, np.ndarray]:
@@ -35,7 +51,7 @@ def build(unit: np.ndarray, seed: int = 0, leaf: int = LEAF) -> dict[str, np.nda
             pick = r.integers(a, b)
             order[a], order[pick] = order[pick], order[a]
             rest = order[a + 1 : b]
-            far = np.sqrt(np.maximum(0, 2 - 2 * (unit[rest] @ unit[order[a]])))
+            far = distances(unit[rest], unit[order[a]][None])[:, 0]
             by = np.argsort(far, kind="stable")
             order[a + 1 : b] = rest[by]
             far = far[by]
@@ -50,22 +66,29 @@ def build(unit: np.ndarray, seed: int = 0, leaf: int = LEAF) -> dict[str, np.nda
     return {"order": order, "nodes": np.array(nodes, np.float64).reshape(-1, 8)}
 
 
-def search(unit: np.ndarray, tree: dict[str, np.ndarray], queries: np.ndarray, k: int, factor: float = 1.0) -> np.ndarray:
-    """Rows of the k nearest found for each query (-1 where there are fewer)."""
+def search(unit: np.ndarray, tree: dict[str, np.ndarray], queries: np.ndarray, k: int, factor: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all that the walk found no further than the k-th nearest, ties included.
+
+    ``start``: a distance for each query beyond which nothing is wanted.
+    """
     order, nodes = tree["order"], tree["nodes"]
     rows = unit[order]
     best = np.full((len(queries), k), np.inf)
-    found = np.full((len(queries), k), -1, np.int64)
-    slack = 1e-6  # distances are rounded
+    cut = np.full(len(queries), np.inf) if start is None else start.copy()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def offer(q: np.ndarray, a: int, b: int) -> None:
-        far = np.sqrt(np.maximum(0, 2 - 2 * (queries[q] @ rows[a:b].T)))
+        far = distances(queries[q], rows[a:b])
+        some = far.min(1) <= cut[q] + SLACK
+        q, far = q[some], far[some]
+        if not len(q):
+            return
         use = min(k, b - a)
-        near = np.argpartition(far, use - 1, axis=1)[:, :use] if use < b - a else np.broadcast_to(np.arange(b - a), far.shape)
-        both = np.concatenate([best[q], np.take_along_axis(far, near, 1)], 1)
-        names = np.concatenate([found[q], order[a:b][near]], 1)
-        top = np.argsort(both, axis=1, kind="stable")[:, :k]
-        best[q], found[q] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        near = np.partition(far, use - 1, axis=1)[:, :use]
+        best[q] = np.sort(np.concatenate([best[q], near], 1), axis=1)[:, :k]
+        cut[q] = np.minimum(cut[q], best[q, -1])
+        i, j = np.nonzero(far <= cut[q][:, None] + SLACK)
+        found.append((q[i], order[a + j], far[i, j]))
 
     def visit(node: int, q: np.ndarray) -> None:
         a, b, left, right, l0, l1, r0, r1 = nodes[node]
@@ -74,19 +97,23 @@ def search(unit: np.ndarray, tree: dict[str, np.ndarray], queries: np.ndarray, k
             offer(q, a, b)
             return
         offer(q, a, a + 1)
-        far = np.sqrt(np.maximum(0, 2 - 2 * (queries[q] @ rows[a])))
+        far = distances(queries[q], rows[a : a + 1])[:, 0]
         inner = np.abs(far - np.clip(far, l0, l1)) <= np.abs(far - np.clip(far, r0, r1))
         for near, sides in ((True, ((left, l0, l1), (right, r0, r1))), (False, ((right, r0, r1), (left, l0, l1)))):
             mine = inner == near
             for child, low, high in sides:
                 gap = np.maximum(0, np.maximum(low - far[mine], far[mine] - high))
-                go = q[mine][gap <= factor * best[q[mine], -1] + slack]
+                go = q[mine][gap <= factor * cut[q[mine]] + SLACK]
                 if len(go):
                     visit(child, go)
 
     if len(nodes) and len(queries):
         visit(0, np.arange(len(queries)))
-    return found
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    q, row, far = (np.concatenate(x) for x in zip(*found))
+    fine = far <= cut[q] + SLACK
+    return q[fine], row[fine]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,65 +128,122 @@ def packed(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, shard_rows: int = 2048, block: int = 512) -> DataFrame:
+class Cells:
+    """The vantage points of the top level by vector length, and the bounds of their cells."""
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        self.points = {w: units(np.stack([x for x in points if len(x) == w])) for w in {len(x) for x in points}}
+        self.bounds: dict[tuple[int, int], tuple[float, float]] = {}
+
+    def place(self, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell (-1 where there are no vantage points of the length) and distance to its point."""
+        points = self.points.get(full.shape[1])
+        if points is None:
+            return np.full(len(full), -1), np.zeros(len(full))
+        far = distances(units(full), points)
+        cell = far.argmin(1)
+        return cell, far[np.arange(len(full)), cell]
+
+    def gap(self, full: np.ndarray, cell: int) -> np.ndarray:
+        """Lower bound of each query's distance to what is in a cell."""
+        points = self.points.get(full.shape[1])
+        if points is None or cell < 0:
+            return np.zeros(len(full))
+        far = distances(units(full), points)
+        low, high = self.bounds[full.shape[1], cell]
+        own = far[:, cell]
+        return np.maximum((own - far.min(1)) / 2, np.maximum(own - high, low - own))
+
+
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 0.2, shard_rows: int = 2048, block: int = 512, most_cells: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``embeddings`` (vec_id, embedding) that is a query.
 
-    Candidates are all rows but those of the query's own id. Vectors that are null, zero, or
+    Candidates are all rows but those of the query's own id. Vectors that are null, empty, zero, or
     hold a null or non-finite component, rows without an id and vectors of another length than
-    the query's take no part. Ties go to the smaller id. Rows that repeat an id and vector count
-    once; an id with several vectors is a candidate by its nearest one and asks with each.
+    the query's take no part. Ties go to the smaller id, also between scaled copies. Rows that repeat an id
+    and vector count once; an id with several vectors is a candidate by its nearest one and asks with
+    each. Other columns are ignored; an empty table gives an empty result. ``most_cells`` bounds what
+    the driver holds of the top level; more rows make more shards of a cell, never fewer candidates.
     """
     v = F.col("embedding").cast("array<double>")
-    size = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+    size = F.array_max(F.transform(v, F.abs))
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (size > 0)
     rows = embeddings.select("vec_id", "embedding").where(F.coalesce(usable, F.lit(False))).select("vec_id", v.alias("v")).withColumn("key", F.xxhash64("v"))
     # only a class's smallest ids can be among the nearest; the group limit keeps the rest out of the shuffle
-    ids = rows.dropDuplicates(["key", "v", "vec_id"]).withColumn("n", F.expr("row_number() over (partition by key, v order by vec_id)")).where(F.col("n") <= k + 1)
-    classes = ids.groupBy("key", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    single = keep(rows.dropDuplicates(["key", "v", "vec_id"]))
+    ids = single.withColumn("n", F.expr("row_number() over (partition by key, v order by vec_id)")).where(F.col("n") <= k + 1)
+    classes = keep(ids.groupBy("key", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     total = classes.count()
-    shards = max(1, -(-total // shard_rows))
-    asked = rows.where(is_query).select("vec_id", "v").distinct()
-    blocks = max(1, -(-asked.count() // block))
+    each = single.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    wide = (k + 1) * each  # classes that hold k + 1 different ids
+    wanted = min(most_cells, -(-total // shard_rows))
+    share = int(min(1.0, 1.5 * wanted / max(1, total)) * (1 << 30))
+    hashed = classes.select("v", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h")).where(F.col("h") <= share)
+    cells = Cells([np.array(r["v"]) for r in hashed.orderBy("h", "v").limit(wanted).collect()])
+
+    def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for width, part in pdf.groupby(pdf.v.map(len)):
+                cell, far = cells.place(np.stack(part.v.to_list()))
+                yield part.assign(width=width, cell=cell, far=far)
+
+    placed = keep(classes.mapInPandas(assign, "key long, v array<double>, ids array<long>, width int, cell int, far double"))
+    stats = placed.groupBy("width", "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()
+    cells.bounds = {(r["width"], r["cell"]): (r["low"], r["high"]) for r in stats}
+    spark = embeddings.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(r["width"], r["cell"], -(-r["n"] // shard_rows)) for r in stats], "width int, cell int, parts int"))  # a row for each cell
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
-        out = []
-        for width, part in pdf.groupby(pdf.v.map(len)):
-            full = np.stack(part.v.to_list()).astype(np.float64)
-            unit = full / np.abs(full).max(1, keepdims=True)
-            unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-            tree = build(unit)
-            ids = np.full((len(part), k + 1), np.iinfo(np.int64).max)
-            for i, x in enumerate(part.ids):
-                ids[i, : len(x)] = x
-            out.append((part.shard.iloc[0], width, packed(full=full, ids=ids, **tree)))
-        return pd.DataFrame(out, columns=["shard", "width", "tree"])
+        full = np.stack(pdf.v.to_list())
+        ids = np.full((len(pdf), k + 1), np.iinfo(np.int64).max)
+        for i, x in enumerate(pdf.ids):
+            ids[i, : len(x)] = x
+        return pd.DataFrame([(pdf.width.iloc[0], pdf.cell.iloc[0], packed(full=full, ids=ids, **build(units(full))))], columns=["width", "cell", "tree"])
+
+    shards = placed.join(parts, ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")))
+    trees = keep(shards.groupBy("width", "cell", "part").applyInPandas(index, "width int, cell int, tree binary"))
+    asked = keep(single.where(is_query).mapInPandas(assign, "vec_id long, v array<double>, key long, width int, cell int, far double"))
+    blocks = asked.groupBy("width", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each cell
+    asked = asked.join(F.broadcast(blocks), ["width", "cell"]).withColumn("b", F.pmod(F.xxhash64("vec_id", "key"), F.col("blocks")))
 
     def block_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pd.DataFrame([(width, packed(ids=part.vec_id.to_numpy(np.int64), full=np.stack(part.v.to_list()))) for width, part in pdf.groupby(pdf.v.map(len))], columns=["width", "asked"])
+        """The queries of a block; its cells are its own at first, then all others that some query may need."""
+        pdf = pdf.sort_values(["vec_id", "key"])
+        full, home, width = np.stack(pdf.v.to_list()), int(pdf.cell.iloc[0]), int(pdf.width.iloc[0])
+        asked_ = dict(ids=pdf.vec_id.to_numpy(np.int64), keys=pdf.key.to_numpy(np.int64), full=full)
+        if "bound" not in pdf:
+            return pd.DataFrame([(width, packed(**asked_), [home])], columns=["width", "asked", "cells"])
+        bound = pdf.bound.to_numpy(np.float64)
+        others = [c for w, c in sorted(cells.bounds) if w == width and c != home and (cells.gap(full, c) <= factor * bound + SLACK).any()]
+        return pd.DataFrame([(width, packed(bound=bound, **asked_), others)], columns=["width", "asked", "cells"])
 
     def look(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for tree_bytes, asked_bytes in zip(pdf.tree, pdf.asked):
+            for cell, tree_bytes, asked_bytes in zip(pdf.cell, pdf.tree, pdf.asked):
                 t, q = (dict(np.load(io.BytesIO(x))) for x in (tree_bytes, asked_bytes))
-                units = []
-                for full in (t["full"], q["full"]):
-                    unit = full / np.abs(full).max(1, keepdims=True)
-                    units.append(unit / np.sqrt((unit**2).sum(1, keepdims=True)))
-                found = search(units[0], t, units[1], k + 1, factor)
-                query, at = np.nonzero(found >= 0)
-                row = found[query, at]
+                if "bound" in q:
+                    live = cells.gap(q["full"], cell) <= factor * q["bound"] + SLACK
+                    q = {name: x[live] for name, x in q.items()}
+                query, row = search(units(t["full"]), t, units(q["full"]), wide, factor, q.get("bound"))
                 score = cosines(q["full"][query], t["full"][row])
                 ids = t["ids"][row]
-                fine = (ids != np.iinfo(np.int64).max) & (ids != q["ids"][query][:, None])
-                i, j = np.nonzero(fine)
-                yield pd.DataFrame({"query_id": q["ids"][query[i]], "vec_id": ids[i, j], "score": score[i]})
-
-    trees = classes.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(index, "shard int, width int, tree binary")
-    ask = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(block_of, "width int, asked binary")
-    ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = trees.join(ask, ["shard", "width"]).select("tree", "asked").mapInPandas(look, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                i, j = np.nonzero((ids != np.iinfo(np.int64).max) & (ids != q["ids"][query][:, None]))
+                out = pd.DataFrame({"query_id": q["ids"][query[i]], "query_key": q["keys"][query[i]], "vec_id": ids[i, j], "score": score[i]})
+                out = out.sort_values(["query_id", "query_key", "score", "vec_id"], ascending=[True, True, False, True]).drop_duplicates(["query_id", "query_key", "vec_id"])
+                yield out.groupby(["query_id", "query_key"]).head(k)
+
+    def looked(queries: DataFrame) -> DataFrame:
+        ask = queries.groupBy("width", "cell", "b").applyInPandas(block_of, "width int, asked binary, cells array<int>")
+        ask = ask.select("width", "asked", F.explode("cells").alias("cell"))
+        return trees.join(ask, ["width", "cell"]).select("cell", "tree", "asked").mapInPandas(look, "query_id long, query_key long, vec_id long, score double")
+
+    own = keep(looked(asked))
+    best = own.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
+    best = best.withColumn("rank", F.expr("row_number() over (partition by query_id, query_key order by score desc)")).where(F.col("rank") <= k)
+    best = best.groupBy("query_id", "query_key").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
+    bound = best.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).alias("bound"))
+    rest = looked(asked.join(bound, ["vec_id", "key"], "left").withColumn("bound", F.coalesce("bound", F.lit(4.0))))
+    found = own.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
