@@ -1,18 +1,21 @@
 """Main text of web pages from streamed parser events.
 
-The standard library's parser is fed in pieces; its events make blocks, each with its text,
-tags and links. A block's text-to-tag ratio, zero in menus, adverts and other furniture, is
-smoothed by a Gaussian over its neighbours; two-means clustering of the smoothed ratios gives
-the threshold above which blocks are content. The innermost container that holds all content,
-or the outermost article or main around it, is the article; without either it grows outwards
-while what it gains is not mostly links. All of its blocks that are not furniture are its
-text, short ones too.
+The standard library's parser is fed in pieces; its events make blocks (the lines of the shown page), each
+with its text, tags and links. Elements that HTML itself calls furniture (nav, footer, form, hidden ones
+and the like) have no text. The text-to-tag ratios of the blocks, link texts left out and lowered where a
+class or id names furniture, are smoothed by a Gaussian over their neighbours; two-means clustering
+of these ratios gives the threshold above which blocks are content.
+
+The innermost container that holds all content, or the outermost article or main around it, is the
+article; without either it grows outwards while what it gains is not mostly links. Within it, blocks
+below the threshold (headings, short paragraphs) are kept with their neighbours, except where a name plainly says
+furniture, and in containers without content whose text is mostly links.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -38,15 +41,18 @@ NAMED = set(
     "notification notifications announcement responses promoted topbar sidenav subnav search login".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: Words that say where or how a named part stands, and nothing of its content.
+PLACED = set("left right top bottom upper lower inner outer first last big small main box boxes bar list item items container wrapper wrap area block blocks section row col column columns unit slot panel group holder inline".split())
+#: What a name that plainly or perhaps says furniture makes of a ratio.
+PLAIN, PERHAPS = 0.02, 0.5
 #: An open one of these ends where one of the set starts.
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 NEVER_NAMED = set("html body main article h1 h2 h3 h4 h5 h6".split())
 PIECE = 1 << 16
-#: Elements open at once; deeper ones are read as part of the one around them, as browsers do.
-DEPTH = 1000
 
 
 def furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
+    """Furniture by the page's own markup."""
     if tag in SILENT or tag in FURNITURE or tag == "header" and not inside_article:
         return True
     for name, value in attrs:
@@ -55,90 +61,100 @@ def furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article: boo
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and (tag not in NEVER_NAMED or tag == "article" and "comment" in value.split()):
-            words = re.split(r"[^a-z]+", value)
-            if not NAMED.isdisjoint(words) or "header" in words and not inside_article:
-                return True
     return False
 
 
+def hint(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> float:
+    """What the names of an element make of the ratios in it.
+
+    A name of furniture words, or of these and words of place, says it plainly; one that has other words too
+    (``share-price``) only perhaps.
+    """
+    out = 1.0
+    for name, value in attrs:
+        if name not in ("class", "id") or not value or tag in NEVER_NAMED and not (tag == "article" and "comment" in value.lower().split()):
+            continue
+        for token in value.lower().split():
+            words = [w for w in re.split(r"[^a-z]+", token) if w]
+            named = [w for w in words if w in NAMED or w == "header" and not inside_article]
+            if named:
+                out = min(out, PLAIN if all(w in PLACED for w in words if w not in named) else PERHAPS)
+    return out
+
+
 class Page(HTMLParser):
+    """Blocks of a page. Any number of elements may be open: names are counted, so none is looked for in vain."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, furniture, container
+        self.stack: list[tuple[str, bool, int, float]] = []  # tag, furniture, container, hint of all that is open
+        self.open: Counter[str] = Counter()
         self.owners = [0]  # parent of each container
         self.kinds = ["page"]
-        self.off = self.links = self.articles = 0
-        #: open elements beyond DEPTH by tag, and the furniture among them with how often its tag is open
-        self.deep: Counter[str] = Counter()
-        self.sunk, self.sunk_tag = 0, ""
-        #: text, characters in links, tags, container, furniture
-        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.hints = [1.0]
+        self.off = self.articles = self.menus = self.silent = 0
+        #: text, characters in links, tags, container, furniture, hint
+        self.blocks: list[tuple[str, int, int, int, bool, float]] = []
         self.parts: list[str] = []
         self.linked = self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            self.blocks.append((text, self.linked, self.tags, self.container(), self.off > 0))
+            self.blocks.append((text, self.linked, self.tags, self.container(), self.off > 0, self.shift()))
         self.parts, self.linked, self.tags = [], 0, 0
 
     def container(self) -> int:
         return self.stack[-1][2] if self.stack else 0
 
+    def shift(self) -> float:
+        return self.stack[-1][3] if self.stack else 1.0
+
     def pop(self) -> None:
-        self.off -= self.sunk > 0
-        self.sunk = 0
-        self.deep.clear()
-        tag, off, _ = self.stack.pop()
+        tag, off, _, _ = self.stack.pop()
+        self.open[tag] -= 1
         self.off -= off
-        self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
+        self.menus -= off and tag in ("nav", "header", "menu")
+        self.silent -= tag in SILENT
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
         while self.stack and tag in CLOSES.get(self.stack[-1][0], ()):
             self.pop()
-        if tag in BLOCKS:  # formatting left open does not keep a paragraph open
-            names = [x[0] for x in self.stack]
-            if "p" in names:
-                at = len(names) - 1 - names[::-1].index("p")
-                if not any(n in BLOCKS or n in CELLS for n in names[at + 1 :]):
-                    while len(self.stack) > at:
-                        self.pop()
+        if tag in BLOCKS and self.open["p"]:  # formatting left open does not keep a paragraph open
+            at = len(self.stack) - 1
+            while self.stack[at][0] not in BLOCKS and self.stack[at][0] not in CELLS:
+                at -= 1
+            if self.stack[at][0] == "p":
+                while len(self.stack) > at:
+                    self.pop()
         if tag in ("article", "main"):  # a menu or header that was never closed ends here
-            while any(x[0] in ("nav", "header", "menu") and x[1] for x in self.stack):
+            while self.menus:
                 self.pop()
         if tag == "body":
-            while any(x[0] in SILENT for x in self.stack):
+            while self.silent:
                 self.pop()
         self.tags += 1
-        if tag in VOID:
-            if tag in CELLS:
-                self.parts.append(" ")
-            return
         if tag in CELLS:
             self.parts.append(" ")
-        if len(self.stack) >= DEPTH:
-            if self.sunk:
-                self.sunk += tag == self.sunk_tag
-            elif furniture(tag, attrs, self.articles > 0):
-                self.sunk, self.sunk_tag = 1, tag
-                self.off += 1
-            else:
-                self.deep[tag] += 1
+        if tag in VOID:
             return
         off = furniture(tag, attrs, self.articles > 0)
+        shift = min(self.shift(), hint(tag, attrs, self.articles > 0))
         where = self.container()
         if tag in CONTAINERS:
             self.owners.append(where)
             self.kinds.append(tag)
+            self.hints.append(shift)
             where = len(self.owners) - 1
-        self.stack.append((tag, off, where))
+        self.stack.append((tag, off, where, shift))
+        self.open[tag] += 1
         self.off += off
-        self.links += tag == "a"
         self.articles += tag in ("article", "main")
+        self.menus += off and tag in ("nav", "header", "menu")
+        self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -149,15 +165,7 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        if self.sunk and tag not in ("article", "main", "body", "html"):
-            if tag == self.sunk_tag:
-                self.sunk -= 1
-                self.off -= not self.sunk
-            return
-        if self.deep[tag]:
-            self.deep[tag] -= 1
-            return
-        if any(x[0] == tag for x in self.stack):
+        if self.open[tag]:
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
@@ -165,7 +173,7 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.off:
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(data)
 
 
@@ -190,7 +198,7 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
+def main_text(html: str | None, sigma: float = 0.6) -> str:
     """The article's blocks in page order, joined by line feeds; empty if there is none."""
     if not html:
         return ""
@@ -200,24 +208,17 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     page.close()
     page.flush()
     blocks = page.blocks
-    own = [len(t) - min(n, len(t)) if not off else 0 for t, n, _, _, off in blocks]
-    if not any(t and not off for t, _, _, _, off in blocks):
+    own = [0 if off else len(t) - min(n, len(t)) for t, n, _, _, off, _ in blocks]
+    if not any(t and not off for t, _, _, _, off, _ in blocks):
         return ""
-    ratios = smooth(np.array([n / max(1, b[2]) for n, b in zip(own, blocks)]), sigma)
+    ratios = smooth(np.array([b[5] * n / max(1, b[2]) for n, b in zip(own, blocks)]), sigma)
     line = threshold(ratios)
-    weight: dict[int, float] = defaultdict(float)
-    for ratio, n, b in zip(ratios, own, blocks):
-        if ratio >= line and n:
-            at = b[3]
-            while True:
-                weight[at] += n
-                if not at:
-                    break
-                at = page.owners[at]
-    if not weight:
+    content = [bool(ratio >= line and n) for ratio, n in zip(ratios, own)]
+    weight, length, plain = (inside(page, (x * y for x, y in zip(xs, ys))) for xs, ys in ((own, content), ([len(b[0]) for b in blocks], [not b[4] for b in blocks]), (own, [1] * len(own))))
+    if not weight[0]:
         return ""
     # the innermost container that holds every block above the threshold, several articles included
-    chosen = max(c for c in weight if weight[c] == weight[0])
+    chosen = max(c for c in range(len(weight)) if weight[c] == weight[0])
     above = [chosen]
     while above[-1]:
         above.append(page.owners[above[-1]])
@@ -225,23 +226,26 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if named:  # a lead may stand beside the inner article
         chosen = named[-1]
     else:  # a lead, heading or tail may stand beside the inner container, unless that is mostly links
-        length, plain = [0] * len(page.owners), [0] * len(page.owners)
-        for n, (t, _, _, c, off) in zip(own, blocks):
-            length[c] += len(t) * (not off)
-            plain[c] += n
-        for c in range(len(page.owners) - 1, 0, -1):
-            length[page.owners[c]] += length[c]
-            plain[page.owners[c]] += plain[c]
         for c in above[1:]:
             if 2 * (plain[c] - plain[chosen]) < length[c] - length[chosen]:
                 break
             chosen = c
     within = {chosen}
     for c in range(chosen + 1, len(page.owners)):
-        if page.owners[c] in within:
+        if page.owners[c] in within and not (not weight[c] and 2 * plain[c] < length[c]):  # not a container of links alone
             within.add(c)
-    out = [t for t, _, _, c, off in blocks if t and not off and c in within]
-    return "\n".join(out)
+    plainly = [b[5] <= PLAIN < page.hints[chosen] for b in blocks]
+    return "\n".join(b[0] for b, hot, out in zip(blocks, content, plainly) if b[0] and not b[4] and b[3] in within and (hot or not out))
+
+
+def inside(page: Page, values: Iterable[float]) -> list[float]:
+    """Sums of the blocks' values for each container and all within it."""
+    out = [0.0] * len(page.owners)
+    for b, x in zip(page.blocks, values):
+        out[b[3]] += x
+    for c in range(len(out) - 1, 0, -1):
+        out[page.owners[c]] += out[c]
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
