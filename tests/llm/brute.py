@@ -37,6 +37,33 @@ def contamination(docs, bench, size=8, least=2):
     return out
 
 
+def nearly(docs, bench, size=8, slop=4):
+    """(doc_id, n_near): items of which a window's two rarest words stand at most ``slop`` words off their distance."""
+    split = [(d, words(t)) for d, t in docs]
+    count = {}
+    for _, w in split:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    wins = set()
+    for item, text in bench:
+        w = words(text)
+        wins |= {(item, tuple(w[i : i + size])) for i in range(max(1, len(w) - size + 1)) if w}
+    out = []
+    for doc, w in split:
+        places, items = {}, set()
+        for i, x in enumerate(w):
+            places.setdefault(x, []).append(i)
+        for item, win in wins:
+            if item is None or item in items:
+                continue
+            rare = sorted(range(len(win)), key=lambda o: (count.get(win[o], 0), o))[:2]
+            a, b = ([p - o for p in places.get(win[o], ())] for o in (rare[0], rare[-1]))
+            if any(abs(x - y) <= slop for x in a for y in b):
+                items.add(item)
+        out.append((doc, len(items)))
+    return out
+
+
 def secret_spans(text):
     text = text or ""
     found = []

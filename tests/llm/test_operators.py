@@ -42,11 +42,37 @@ def test_neighbours_exact_and_ties(spark):
     assert rows(got, "query_id", "rank", "vec_id") == sorted(want, key=repr)
 
 
-def test_neighbours_recall(spark, sf_dir):
-    got = vptree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
-    exact = vptree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, factor=1.0)
-    a, b = set(rows(got, "query_id", "vec_id")), set(rows(exact, "query_id", "vec_id"))
-    assert len(a & b) >= 0.9 * len(b)
+def test_neighbours_scaled_copies(spark):
+    r = random.Random(2)
+    base = [r.gauss(0, 1) for _ in range(8)]
+    tied = [(0, base)] + [(i, [x * 2.0**e for x in base]) for i, e in zip(range(1, 13), r.sample(range(-20, 20), 12))]
+    far = [(100 + i, [r.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    docs = spark.createDataFrame(tied + far, "vec_id long, embedding array<double>")
+    for factor in (0.2, 1.0):
+        got = vptree.nearest(docs, F.col("vec_id") == 0, factor=factor, shard_rows=40)
+        assert [(x["rank"], x["vec_id"], round(x["score"], 12)) for x in got.orderBy("rank").collect()] == [(i, i, 1.0) for i in range(1, 6)]
+    tiny = spark.createDataFrame([(0, [1e-200, 2e-200]), (1, [1e-200, 2e-200]), (2, [3e200, 6e200])], "vec_id long, embedding array<double>")
+    assert [x["vec_id"] for x in vptree.nearest(tiny, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+def test_neighbours_of_ids_with_several_vectors(spark):
+    items = [(0, [1.0, 0.0])] + [(7, [1.0, 0.001 * i]) for i in range(1, 20)] + [(i, [1.0, 0.1 * i]) for i in range(1, 6)]
+    got = vptree.nearest(spark.createDataFrame(items, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, factor=1.0)
+    assert [x["vec_id"] for x in got.orderBy("rank").collect()] == [7, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("factor,least", [(0.2, 0.9), (1.0, 1.0)])
+def test_neighbours_recall(spark, sf_dir, factor, least):
+    """Against brute force in numpy, with many small cells and shards."""
+    table = spark.read.parquet(f"{sf_dir}/../sf0.1/embeddings.parquet")
+    own = [(r["vec_id"], np.array(r["embedding"], float)) for r in table.collect()]
+    ids, full = np.array([i for i, _ in own]), np.stack([x / np.linalg.norm(x) for _, x in own])
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        far = np.where(ids == ids[i], 9, -(full @ full[i]))
+        want |= {(int(ids[i]), int(ids[j])) for j in np.argsort(far)[:5]}
+    got = set(rows(vptree.nearest(table, F.col("vec_id") % 50 == 0, factor=factor, shard_rows=128), "query_id", "vec_id"))
+    assert len(got & want) >= least * len(want)
     assert vptree.nearest(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
@@ -76,10 +102,39 @@ def test_very_deep_and_unclosed_pages():
     assert html_text.main_text("<p>Some text.</p><script>" + "var x = 1; " * 50000) == "Some text."
 
 
+def test_pages_against_their_articles(spark, sf_dir):
+    """The given pages mark their article plainly, so that regular expressions can find its lines."""
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{sf_dir}/../sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        lines = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:h1|p|ul|li)>|<br>(?=<p>)", inner)]
+        want = "\n".join(x for x in (re.sub(r" *<br> *", " ", x).strip() for x in lines) if x)
+        assert html_text.main_text(r["html"]) == want, r["page_id"]
+
+
+def test_ratios_decide(spark, sf_dir, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    right = [html_text.main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "smooth", lambda ratios, sigma: np.ones(len(ratios)))
+    assert sum(html_text.main_text(x) != y for x, y in zip(pages, right)) > 0.9 * len(pages)
+
+
+def test_names_shift_and_markup_decides():
+    long = "Long text of the article goes on and on. " * 20
+    page = f'<article><p>{long}</p><p id="share-price">The share price fell.</p><p>{long}</p><div class="ad">Buy this now please</div><p>Short.</p></article>'
+    assert html_text.main_text(page).split("\n")[1::2] == ["The share price fell.", "Short."]
+    deep = "<div>" * 1005 + f"<p>{long}</p><script>var x = 1</script>" + "</div>" * 1005
+    assert html_text.main_text(deep) == long.strip()
+
+
 def test_html_pages(spark, sf_dir):
     got = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     for r in got.collect():
         assert r["text"] and r["n_chars"] == len(r["text"]) and "track(" not in r["text"]
+    same = spark.createDataFrame([(1, "u", "<p>One text.", "n"), (1, "u", "<p>One text.", "n"), (1, "v", "<p>Other.", "n")], "page_id long, url string, html string, n_chars string")
+    assert rows(html_text.extract(same)) == [(1, "u", "One text.", 9), (1, "u", "One text.", 9), (1, "v", "Other.", 6)]
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "<p>" + "long text " * 60000, "x")], "page_id long, url string, html string, text string")
     assert [r[3] for r in rows(html_text.extract(odd))] == [599999, 0] or [r[3] for r in rows(html_text.extract(odd))] == [0, 599999]
 
@@ -95,6 +150,16 @@ def test_contamination(spark, sf_dir, odd_docs, small_docs, pairs_of, small_pair
     got = decontaminate.contamination(docs, spark.createDataFrame(bench, "item_id long, text string"))
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows(got, *names) == sorted(brute.contamination(plain, bench), key=repr)
+    assert rows(got, "doc_id", "n_near") == sorted(brute.nearly(plain, bench), key=repr)
+
+
+def test_contamination_by_shuffles(spark, sf_dir, small_docs, small_pairs, monkeypatch):
+    """Without any broadcast, as for a benchmark of very many terms."""
+    monkeypatch.setattr(decontaminate, "small", lambda df: df)
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = decontaminate.contamination(small_docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    assert rows(got, *names) == sorted(brute.contamination(small_pairs, bench), key=repr)
 
 
 def test_contamination_empty(spark, empty_docs, odd_docs):
@@ -104,10 +169,11 @@ def test_contamination_empty(spark, empty_docs, odd_docs):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "one two rare3 four five rare6 seven eight"), (2, "rare3 and and and rare6"), (3, "rare3 " + "x " * 50 + "rare6")], "doc_id long, text string")
-    wins, _ = decontaminate.windows(spark.createDataFrame([(1, "one two rare3 four five rare6 seven eight")], "item_id long, text string"))
-    filler = docs.unionByName(spark.createDataFrame([(i, "one two four five seven eight") for i in range(10, 20)], "doc_id long, text string"))
-    assert {r["kid"] for r in decontaminate.proximity_matches(filler, wins).collect()} == {1, 2}
+    docs = [(1, "one two rare3 four five rare6 seven eight"), (2, "rare3 and and and rare6"), (3, "rare3 " + "x " * 50 + "rare6")]
+    docs += [(i, "one two four five seven eight") for i in range(10, 20)]
+    bench = [(1, "one two rare3 four five rare6 seven eight")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_items"], r["n_near"]) for r in got.where("n_near > 0").collect()} == {1: (1, 1), 2: (0, 1)}
 
 
 # substrings
@@ -301,6 +367,14 @@ def test_trigram_queries():
     assert frozenset({"api", "pik", "ike", "key"}) in secrets.trigram_query(secrets.BASE[0].regex)
 
 
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdefgh b", "mine", True, "x"), (2, None, "yours", False, "y")], "doc_id long, text string, found string, is_assign boolean, _none string")
+    got = [tuple(r) for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert got == [(1, "a [secret] b", "mine", True, "x"), (2, None, "yours", False, "y")]
+    with pytest.raises(ValueError):
+        secrets.scan(docs)
+
+
 def test_redact(spark, odd_docs, empty_docs):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b " + "0" * 33), (2, "clean"), (3, None), (4, "secret=" + "f" * 40)], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["a [secret] b [secret]", "clean", None, "[secret]"]
@@ -390,7 +464,7 @@ def test_license_model_and_markers():
 @pytest.mark.parametrize("which", ["odd", "small"])
 def test_language_model(odd_docs, small_docs, pairs_of, small_pairs, which):
     docs, plain = (odd_docs, pairs_of) if which == "odd" else (small_docs, small_pairs)
-    setting = hmm.Setting(states=3, common=200, rare=16, warm_documents=50, warm_rounds=3, rounds=1)
+    setting = hmm.Setting(states=3, common=200, rare=16, shares=(0.25, 1.0))
     counts = Counter()
     for d, t in plain:
         if brute.crc(d) % 7 != 2:
@@ -410,6 +484,31 @@ def test_language_model_learns(small_docs, empty_docs):
     assert hmm.language_scores(empty_docs).count() == 0
 
 
+def test_scores_against_a_plain_recursion(small_docs, small_pairs):
+    """Whole texts, word by word, with the operator's own parameters."""
+    setting = hmm.Setting(states=3, common=200, rare=16, shares=(0.5, 1.0))
+    model, counts = hmm.fit(small_docs.where(f"crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"), setting)
+    n = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in hmm.language_scores(small_docs, setting).collect()}
+    mass = 10**model.mass
+    for doc, text in small_pairs[:60]:
+        total, alpha = 0.0, None
+        for w in [*(text or "").encode().lower().split(), None]:
+            kind = model.end if w is None else model.words.get(w, model.end + 1 + zlib.crc32(w or b"") % 16)
+            own = ((model.ends if w is None else n.get(w, 0)) + 1) / model.denominator / mass[kind]
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[kind] * own
+            total += log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert abs(got[doc] - total) < 1e-3 * max(1, abs(total)), doc
+
+
+def test_language_model_of_one_very_long_text(spark):
+    text = "a b c d e f g h " * 30_000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in hmm.language_scores(docs, hmm.Setting(states=2, common=5, rare=2, shares=(0.1, 1.0))).collect()}
+    assert got[1][0] == 240_001 and all(np.isfinite(x[1]) for x in got.values())
+
+
 def test_forward_and_counts_by_enumeration():
     from itertools import product
 
@@ -436,5 +535,5 @@ def test_forward_and_counts_by_enumeration():
 
 
 def test_word_masses_sum_to_one(small_docs):
-    model, counts = hmm.fit(small_docs, hmm.Setting(states=2, common=100, rare=8, warm_documents=20, warm_rounds=1, rounds=1))
+    model, counts = hmm.fit(small_docs, hmm.Setting(states=2, common=100, rare=8, shares=(0.5, 1.0)))
     assert np.isclose((10**model.mass).sum(), 1) and np.allclose(model.emit.sum(0), 1)
