@@ -4,16 +4,17 @@ Every stretch of ``length`` bytes (a window) is routed by its anchor: the least
 hashed 40-byte strings in it, the leftmost of equals. Equal windows have equal anchors at
 equal offsets, so they meet. Windows in a row with the same anchor occurrence make one piece.
 
-1. Anchors are counted. Those that occur twice or more set bits of a filter of fixed size;
-   a filter only spares work, since all later steps are exact by themselves.
-2. Pieces whose anchor may repeat are written, as hashes. Equal pieces become one class with
-   its earliest place, all other places are repeats; partial minima keep a passage that very
+1. Anchors are counted. Those that occur twice or more set bits of a filter whose size follows from their
+   number; a filter only spares work, since all later steps are exact by themselves. Where it would be
+   too large to broadcast, a join on the anchors takes its place.
+2. Pieces whose anchor may repeat are written, as 128-bit BLAKE2 digests of their bytes. Equal pieces become
+   one class with its earliest place, all other places are repeats; partial minima keep a passage that very
    many documents share out of any single task.
-3. Classes that share an anchor are cut from the texts again, by a second filter, and meet in a
+3. Classes that share an anchor are cut from the texts again, by a second filter or join, and meet in a
    shard, which sorts the suffixes of its pieces by induction and finds equal windows of
    different pieces by their permuted common prefixes.
-4. An anchor with very many classes is split by window instead: one row for each window of its
-   classes, grouped by hash with partial minima.
+4. An anchor with very many classes would not fit a shard and is split by window instead: one row for each
+   window of its classes, grouped by its bytes with partial minima.
 """
 
 from __future__ import annotations
@@ -27,17 +28,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from leafwire.llm.common import keep, shared_folder, slices, texts
+from leafwire.llm.common import keep, remove, shared_folder, slices, texts, unused
 from leafwire.llm.suffix import common_prefixes, suffix_array
 
 GRAM = 40
 SLICE = 1 << 20
 PART = 2 << 20
+#: Bits of a filter for each thing in it, and of the largest filter that is broadcast (128 MB).
+EACH, MOST_BITS = 16, 30
 #: Odd multipliers and the places of the bits that the position takes in a packed minimum.
-M1, M2, M3, STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 LOW = np.uint64(24)
-BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -55,27 +58,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of hashed bytes times powers of STEP, and the inverse powers."""
-    powers = np.full(len(data) + 1, STEP, np.uint64)
-    powers[0] = 1
-    inverse = np.full(len(data) + 1, np.uint64(pow(int(STEP), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    np.multiply.accumulate(inverse, out=inverse)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers[:-1], out=sums[1:])
-    return sums, inverse
-
-
-def pieces_of(docs: list[bytes], length: int, content: bool) -> dict[str, np.ndarray]:
-    """doc (its index), start, count (of windows), anchor and, if asked for, piece (hash) of all pieces."""
+def pieces_of(docs: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """doc (its index), start, count (of windows), anchor and at (place in the joined texts) of all pieces."""
     data = np.frombuffer(b"".join(docs), np.uint8)
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     ends = np.cumsum(sizes)
-    names = ("doc", "start", "count", "anchor", "piece", "at")
     if len(data) < length:
-        return {k: np.empty(0, np.int64) for k in names}
+        return {k: np.empty(0, np.int64) for k in ("doc", "start", "count", "anchor", "at")}
     h = gram_hashes(data)
     least = (h >> LOW << LOW) | np.arange(len(h), dtype=np.uint64)
     grams, span = length - GRAM + 1, 1
@@ -92,11 +81,7 @@ def pieces_of(docs: list[bytes], length: int, content: bool) -> dict[str, np.nda
     begin = np.flatnonzero(fresh)
     stop = np.append(begin[1:], len(place))
     stop = np.minimum(stop, ends[owner[begin]] - length + 1)
-    out = {"doc": owner[begin], "start": begin - (ends - sizes)[owner[begin]], "count": stop - begin, "anchor": h[place[begin]].view(np.int64), "at": begin}
-    if content:
-        sums, inverse = prefix_sums(data)
-        out["piece"] = ((sums[stop - 1 + length] - sums[begin]) * inverse[begin] ^ (stop - begin).astype(np.uint64)).view(np.int64)
-    return out
+    return {"doc": owner[begin], "start": begin - (ends - sizes)[owner[begin]], "count": stop - begin, "anchor": h[place[begin]].view(np.int64), "at": begin}
 
 
 def parts(docs: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -169,9 +154,15 @@ class BitFilter:
         return (self.flags[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
 
     @classmethod
-    def of(cls, rows: DataFrame, bits: int) -> BitFilter:
-        """Each task sets the flags of its own part of the range, so what comes to the driver is the
-        filter once, of this size whatever the input."""
+    def of(cls, rows: DataFrame, most_bits: int = MOST_BITS) -> BitFilter | None:
+        """A filter of the rows, counted first; None if it would have to be larger than ``most_bits``.
+
+        Each task sets the flags of its own part of the range, so what comes to the driver is the filter once.
+        """
+        rows = keep(rows)
+        bits = max(10, int(EACH * rows.count()).bit_length())
+        if bits > most_bits:
+            return None
         chunk, names = min(15, bits), rows.columns
 
         def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,61 +187,86 @@ class BitFilter:
         return cls(out)
 
 
-def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_bytes: int = 1 << 19, hot: int = 4000) -> DataFrame:
-    """kid, kh, start, len: byte spans of the rows of ``docs`` (kid long, kh, text) that repeat earlier ones."""
+def repeats(docs: DataFrame, length: int = 100, most_bits: int = MOST_BITS, shard_bytes: int = 1 << 19, hot: int = 4000) -> DataFrame:
+    """kid, kh, start, len: byte spans of the rows of ``docs`` (kid long, kh, text) that repeat earlier ones; written.
+
+    ``most_bits``: of a broadcast filter; ``shard_bytes``: of the pieces that are sorted together; ``hot``: classes of
+    an anchor beyond which it is split by window. None of them changes the result.
+    """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/substrings-{uuid.uuid4().hex}"
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
-            got = [pieces_of(cut, length, False)["anchor"] for _, _, cut in parts(texts(batch), length)]
+            got = [pieces_of(cut, length)["anchor"] for _, _, cut in parts(texts(batch), length)]
             names, n = np.unique(np.concatenate(got) >> 24, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.minimum(n, 2).astype(np.int32))], ["a", "n"])
 
-    def pieces_in(known: BitFilter, with_bytes: bool) -> DataFrame:
-        """Pieces whose anchor is in the filter or, with their bytes, which are in it as a whole."""
+    def pieces_in(rows: DataFrame, known: BitFilter | None, with_bytes: bool) -> DataFrame:
+        """Pieces whose anchor, or with their bytes whose place, is in the filter or in a row's own ``starts``."""
         held = spark.sparkContext.broadcast(known)
-        fields = ["anchor", "piece", "kid", "kh", "start", "count"] + ["bytes"] * with_bytes
+        fields = ["anchor", "kid", "kh", "start", "count"] + (["bytes"] if with_bytes else ["p1", "p2"])
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value
             for batch in slices(batches, SLICE):
                 ids, hashes = batch.column("kid"), batch.column("kh")
+                own = batch.column("starts").to_pylist() if "starts" in batch.schema.names else None
                 for docs_, offsets, cuts in parts(texts(batch), length):
-                    p = pieces_of(cuts, length, True)
+                    p = pieces_of(cuts, length)
                     row, start = np.array(docs_)[p["doc"]], np.array(offsets)[p["doc"]] + p["start"]
-                    if with_bytes:
-                        hit = known.holds(p["anchor"], p["piece"], ids.to_numpy()[row], start)
+                    if own is not None:
+                        wanted = np.array([r << 40 | x for r in set(docs_) for x in own[r]], np.int64)
+                        hit = np.isin(row.astype(np.int64) << 40 | start, wanted)
+                    elif known is None:
+                        hit = np.ones(len(row), bool)
+                    elif with_bytes:
+                        hit = known.holds(ids.to_numpy()[row], start)
                     else:
                         hit = known.holds(p["anchor"] >> 24)
                     some = np.flatnonzero(hit)
-                    which, start = pa.array(row[some]), start[some]
-                    columns = [pa.array(p["anchor"][some]), pa.array(p["piece"][some]), ids.take(which), hashes.take(which), pa.array(start), pa.array(p["count"][some].astype(np.int32))]
+                    which, joined = pa.array(row[some]), b"".join(cuts)
+                    ends = p["at"][some] + p["count"][some] + length - 1
+                    blobs = [joined[x:y] for x, y in zip(p["at"][some].tolist(), ends.tolist())]
+                    columns = [pa.array(p["anchor"][some]), ids.take(which), hashes.take(which), pa.array(start[some]), pa.array(p["count"][some].astype(np.int32))]
                     if with_bytes:
-                        joined = b"".join(cuts)
-                        ends = p["at"][some] + p["count"][some] + length - 1
-                        columns.append(pa.array([joined[x:y] for x, y in zip(p["at"][some].tolist(), ends.tolist())], pa.binary()))
+                        columns.append(pa.array(blobs, pa.binary()))
+                    else:
+                        digest = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in blobs), "<i8").reshape(-1, 2)
+                        columns += [pa.array(np.ascontiguousarray(digest[:, i])) for i in (0, 1)]
                     yield pa.RecordBatch.from_arrays(columns, fields)
 
-        return docs.mapInArrow(cut, "anchor long, piece long, kid long, kh long, start long, count int" + ", bytes binary" * with_bytes)
+        return rows.mapInArrow(cut, "anchor long, kid long, kh long, start long, count int, " + ("bytes binary" if with_bytes else "p1 long, p2 long"))
 
-    twice = docs.select("text").mapInArrow(anchors, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
-    pieces_in(BitFilter.of(twice.select("a"), filter_bits), False).write.option("compression", "zstd").parquet(f"{folder}/pieces")
-    pieces = spark.read.parquet(f"{folder}/pieces")
+    def write(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    twice = docs.select("text").mapInArrow(anchors, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
+    twice = write(twice, "anchors")
+    known = BitFilter.of(twice, most_bits)
+    pieces = pieces_in(docs, known, False)
+    if known is None:
+        pieces = pieces.join(twice, F.shiftright("anchor", 24) == F.col("a"), "left_semi")
+    pieces = write(pieces, "pieces")
     # equal pieces
-    classes = pieces.groupBy("anchor", "piece").agg(F.min(F.struct("kid", "start")).alias("f"), F.count("*").alias("n"))
-    classes.select("anchor", "piece", "n", "f.*").write.option("compression", "zstd").parquet(f"{folder}/classes")
-    classes = spark.read.parquet(f"{folder}/classes")
-    many = classes.where("n > 1").select("anchor", "piece", F.col("kid").alias("k0"), F.col("start").alias("s0"))
-    again = pieces.join(many, ["anchor", "piece"]).where("kid > k0 or start > s0")
+    name = ["anchor", "p1", "p2"]
+    classes = pieces.groupBy(*name).agg(F.min(F.struct("kid", "start")).alias("f"), F.count("*").alias("n"))
+    classes = write(classes.select(*name, "n", "f.*"), "classes")
+    many = classes.where("n > 1").select(*name, F.col("kid").alias("k0"), F.col("start").alias("s0"))
+    again = pieces.join(many, name).where("kid > k0 or start > s0")
     equal = again.select("kid", "kh", "start", (F.col("count") + (length - 1)).cast("long").alias("len"))
     # different pieces around one anchor
-    shared = keep(classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))
-    total = (shared.agg(F.sum("m")).first()[0] or 0) * (length + 40)
+    shared = classes.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    lead = keep(classes.join(shared, "anchor").select("anchor", "kid", "start", "m").distinct())
+    total = lead.count() * (length + 40)
     shards = max(1, -(-total // shard_bytes))
-    lead = keep(classes.join(shared, "anchor").select("anchor", "piece", "kid", "start", "m"))
-    near = pieces_in(BitFilter.of(lead.select("anchor", "piece", "kid", "start"), filter_bits), True)
-    near = near.select("anchor", "piece", "kid", "kh", "start", "bytes").join(lead, ["anchor", "piece", "kid", "start"])
+    places = BitFilter.of(lead.select("kid", "start"), most_bits)
+    if places is None:
+        near = pieces_in(docs.join(lead.groupBy("kid").agg(F.collect_set("start").alias("starts")), "kid"), None, True)
+    else:
+        near = pieces_in(docs, places, True)
+    near = near.select("anchor", "kid", "kh", "start", "bytes").join(lead, ["anchor", "kid", "start"])
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kid", "start", "kh"], ignore_index=True)
@@ -269,38 +285,49 @@ def repeats(docs: DataFrame, length: int = 100, filter_bits: int = 27, shard_byt
                 n = np.array([len(x) - length + 1 for x in blobs])
                 which = np.repeat(np.arange(len(blobs)), n)
                 offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                digest = [int.from_bytes(hashlib.blake2b(blobs[w][o : o + length], digest_size=16).digest(), "little") for w, o in zip(which.tolist(), offset.tolist())]
-                h = np.array([(d & (1 << 64) - 1, d >> 64) for d in digest], np.uint64).view(np.int64).reshape(-1, 2)
                 take = pa.array(which)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), rows.column("kid").take(take), rows.column("kh").take(take), pa.array(rows.column("start").to_numpy()[which] + offset)], ["h1", "h2", "kid", "kh", "start"])
+                each = pa.array([blobs[w][o : o + length] for w, o in zip(which.tolist(), offset.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([each, rows.column("kid").take(take), rows.column("kh").take(take), pa.array(rows.column("start").to_numpy()[which] + offset)], ["window", "kid", "kh", "start"])
+
+    each = near.where(F.col("m") > hot).select("kid", "kh", "start", "bytes").mapInArrow(windows, "window binary, kid long, kh long, start long")
+    first = each.groupBy("window").agg(F.min(F.struct("kid", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("window", F.col("f.kid").alias("k0"), F.col("f.start").alias("s0"))
+    single = each.join(first, "window").where("kid > k0 or start > s0").select("kid", "kh", "start", F.lit(length).cast("long").alias("len"))
+    found = equal.unionByName(partly).unionByName(single)
+    spans = keep(found.groupBy("kid", "kh").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans")))
+    remove(spark, folder)
+    return spans
 
-    each = near.where(F.col("m") > hot).select("kid", "kh", "start", "bytes").mapInArrow(windows, "h1 long, h2 long, kid long, kh long, start long")
-    first = each.groupBy("h1", "h2").agg(F.min(F.struct("kid", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("f.kid").alias("k0"), F.col("f.start").alias("s0"))
-    single = each.join(first, ["h1", "h2"]).where("kid > k0 or start > s0").select("kid", "kh", "start", F.lit(length).cast("long").alias("len"))
-    return equal.unionByName(partly).unionByName(single)
 
+#: Columns that the operator adds.
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 
-def without_repeats(docs: DataFrame, length: int = 100, **options: int) -> DataFrame:
+
+def without_repeats(docs: DataFrame, length: int = 100, most_bits: int = MOST_BITS, **options: int) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_removed, n_spans, kept (binary: what remains of the text).
 
     Each byte is removed that lies in a string of ``length`` bytes which also starts earlier: in
-    a smaller doc_id, or earlier in the same one. A null id comes before all others. Rows
+    a smaller doc_id, or earlier in the same one. Ids are integers; a null id comes before all others. Rows
     that share an id count as one document, so only an earlier start is earlier; a row that
     repeats another one whole has the same result. Null texts are empty. Texts shorter than
-    ``length`` stay whole. Columns named kid, kh, n_* or kept may not be in ``docs``.
+    ``length`` stay whole. Columns of ``docs`` with the names of those that are added are replaced; all
+    others stay, of whatever name.
     """
-    keyed = docs.withColumns({"text": F.coalesce("text", F.lit("")), "kid": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))})
-    keyed = keyed.withColumn("kh", F.xxhash64("text"))
-    found = repeats(keyed.select("kid", "kh", "text"), length, **options)
-    spans = keep(found.groupBy("kid", "kh").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans")))
-    held = docs.sparkSession.sparkContext.broadcast(BitFilter.of(spans.select("kid", "kh"), options.get("filter_bits", 27)))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type, which has an order")
+    docs = docs.drop(*ADDED)
+    kid, kh, may, held_spans = (unused(x, docs) for x in ("kid", "kh", "may", "spans"))
+    keyed = docs.withColumns({"text": F.coalesce("text", F.lit("")), kid: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))})
+    keyed = keyed.withColumn(kh, F.xxhash64("text"))
+    spans = repeats(keyed.select(F.col(kid).alias("kid"), F.col(kh).alias("kh"), "text"), length, most_bits, **options)
+    spans = spans.withColumnsRenamed({"kid": kid, "kh": kh, "spans": held_spans})
+    held = docs.sparkSession.sparkContext.broadcast(BitFilter.of(spans.select(kid, kh), most_bits))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [c for c in docs.columns if c != "text"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            spans_of = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
+            out: dict[str, list] = {c: [] for c in ADDED}
+            spans_of = batch.column(held_spans).to_pylist() if held_spans in batch.schema.names else [None] * batch.num_rows
             for x, spans_ in zip(texts(batch), spans_of):
                 kept, at, n = [], 0, 0
                 for span in spans_ or ():
@@ -313,15 +340,16 @@ def without_repeats(docs: DataFrame, length: int = 100, **options: int) -> DataF
                 rest = b"".join(kept)
                 for k, v in zip(out, (len(x), len(x) - len(rest), n, rest)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], [*names, *out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(out[k], pa.int64()) for k in ADDED[:3]), pa.array(out["kept"], pa.binary())], [*names, *out])
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = held.value.holds(batch.column("kid").to_numpy(), batch.column("kh").to_numpy())
-            yield batch.append_column("may", pa.array(may))
+            filter_ = held.value
+            found = np.ones(batch.num_rows, bool) if filter_ is None else filter_.holds(batch.column(kid).to_numpy(), batch.column(kh).to_numpy())
+            yield batch.append_column(may, pa.array(found))
 
     # only texts that may have spans go through the shuffle to them
-    flagged = keyed.select(*names, "text", "kid", "kh").mapInArrow(marked, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "text string, kid long, kh long, may boolean"]))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
-    joined = flagged.where("may").join(spans, ["kid", "kh"], "left").select(*names, "text", "spans")
-    return joined.mapInArrow(cut, schema).unionByName(flagged.where("not may").select(*names, "text").mapInArrow(cut, schema))
+    flagged = keyed.select(*names, "text", kid, kh).mapInArrow(marked, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"text string, {kid} long, {kh} long, {may} boolean"]))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    joined = flagged.where(F.col(may)).join(spans, [kid, kh], "left").select(*names, "text", held_spans)
+    return joined.mapInArrow(cut, schema).unionByName(flagged.where(~F.col(may)).select(*names, "text").mapInArrow(cut, schema))

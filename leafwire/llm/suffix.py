@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting, in numpy, and permuted common prefixes.
 
 Suffixes are classified as smaller or larger than the next one; the leftmost-smaller
-(LMS) substrings are sorted by one round of induction, named, ordered by recursion on the names,
-and a second round induces all suffixes from them. A round goes bucket by bucket, each bucket in waves
-of whole arrays: what a wave induces into its own bucket is the next wave.
+(LMS) substrings are sorted by one round of induction, named, ordered by recursion on the names until
+all names differ, and a second round induces all suffixes from them. A round goes bucket by bucket, each bucket
+in waves of whole arrays: what a wave induces into its own bucket is the next wave. The names of
+a recursion are nearly as many as their places; there the same round goes suffix by suffix.
 """
 
 from __future__ import annotations
@@ -72,20 +73,28 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray
     return out
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """Base case for strings that have nearly as many symbols as places: sort by doubled prefixes."""
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    n, width = len(s), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], (np.diff(key[order]) > 0).astype(np.int64)]))
-        if new[order[-1]] == n - 1:
-            return order
-        rank, width = new, 2 * width
+def induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """:func:`induce` one suffix at a time, for alphabets so large that a bucket has hardly any."""
+    symbol, is_small, out = s.tolist(), small.tolist(), [-1] * len(s)
+    room = bounds[1:].tolist()
+    for i in lms[::-1].tolist():
+        room[symbol[i]] -= 1
+        out[room[symbol[i]]] = i
+    room = bounds[:-1].tolist()
+    for k in range(len(out)):
+        j = out[k] - 1
+        if j >= 0 and not is_small[j]:
+            c = symbol[j]
+            out[room[c]] = j
+            room[c] += 1
+    room = bounds[1:].tolist()
+    for k in range(len(out) - 1, -1, -1):
+        j = out[k] - 1
+        if j >= 0 and is_small[j]:
+            c = symbol[j]
+            room[c] -= 1
+            out[room[c]] = j
+    return np.array(out)
 
 
 def names_of(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -112,20 +121,21 @@ def names_of(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 def suffix_array(s: np.ndarray, symbols: int | None = None) -> np.ndarray:
     """Of integers whose last one is the least and occurs once."""
     s = np.asarray(s, np.int64)
+    if len(s) == 1:
+        return np.zeros(1, np.int64)
     symbols = int(s.max()) + 1 if symbols is None else symbols
-    if len(s) < 16 or symbols > max(300, len(s) // 48):
-        return doubled(s)
+    by = induce if symbols <= max(300, len(s) // 48) else induce_singly
     small = smaller(s)
     bounds = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=symbols))])
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    first = induce(s, small, lms, bounds)
+    first = by(s, small, lms, bounds)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
     order = first[is_lms[first]]
     names = names_of(s, lms, order)
     if names[np.argmax(names)] + 1 < len(lms):
         order = lms[suffix_array(names)]
-    return induce(s, small, order, bounds)
+    return by(s, small, order, bounds)
 
 
 def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
