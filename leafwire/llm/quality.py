@@ -159,12 +159,13 @@ def gradients(net: Network, docs: list[bytes], labels: np.ndarray, weight: np.nd
     return {"embed": g_embed, "filters": np.ascontiguousarray(g_filters.T), "bias": d_top.sum(0), "out": g_out.astype(np.float32), "shift": np.array([dz.sum()], np.float32)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, seed: int = 0, steps: int = 1500) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, seed: int = 0, steps: int = 1500, stretch: int = 1 << 16) -> Network:
     """A network trained on at most ``rows`` labelled texts, those of the smallest hash of their id.
 
-    Only rows whose crc32 of the id modulo 4 is not 2 take part. A text's first 16,384 characters stand
-    for it in training; scores are always over whole texts. Rows that are null in id, text
-    or label are left out; conflicting labels of an id count as label 0.
+    Only rows whose crc32 of the id modulo 4 is not 2 take part, with whole texts; of one of more than
+    ``stretch`` characters so many from a place that the id's hash picks, and each epoch shows another part of that.
+    Scores are always over whole texts. Rows that are null in id, text or label are left out; conflicting
+    labels of an id count as label 0.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows_ = docs.where("text is not null").where(remainder("doc_id", 4) != 2).select("doc_id", "text").join(known, "doc_id")
@@ -175,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, seed: int = 0, ste
     for label in (0, 1):
         share = min(1.0, 1.2 * (rows // 2) / max(1, counts.get(label, 0)) + 1e-6)
         part = rows_.where((F.col("quality") == label) & (F.col("h") <= int(share * (1 << 30)))).orderBy("h", "doc_id")
-        picked.append(part.select("doc_id", F.substring("text", 1, 1 << 14).alias("text"), "quality").limit(rows // 2))
+        begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - stretch + 1, F.lit(1)).cast("long")).cast("int") + 1
+        picked.append(part.select("doc_id", F.substring(F.col("text"), begin, F.lit(stretch)).alias("text"), "quality").limit(rows // 2))
     sample = picked[0].union(picked[1]).collect()
     epochs = min(60, max(1, round(steps * 32 / max(1, len(sample)))))
     return train([x["text"].encode() for x in sample], np.array([x["quality"] for x in sample], np.float32), epochs=epochs, seed=seed)
