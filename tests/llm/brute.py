@@ -135,3 +135,39 @@ def without_repeats(docs, length=100):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((d, len(x), len(x) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def licenses(docs, model, templates, marks, grams_of, least=0.75, sure=0.5, reach=2):
+    """Rows (doc_id, n_paragraphs, n_licensed, families, spans)."""
+    import math
+
+    def judged(text):
+        have = set(grams_of(text))
+        z = list(model.bias)
+        for g in have:
+            for i, w in enumerate(model.weights.get(g, ())):
+                z[i] += w
+        z = [x / model.temperature for x in z]
+        best = max(range(len(z)), key=lambda i: z[i])
+        family = model.families[best]
+        share = max((sum(g in have for g in t) / len(t) for f, _, t in templates if f == family), default=0.0)
+        fine = family != "unknown" and 1 / sum(math.exp(x - z[best]) for x in z) >= sure and share >= least
+        return family if fine else None
+
+    out = []
+    for doc, text in docs:
+        lines = (text or "").split("\n")
+        marked = [bool(re.search(marks, x.lower())) for x in lines]
+        near = [bool(re.search(r"[^ \t\n\x0b\f\r]", x)) and any(marked[max(0, i - reach) : i + reach + 1]) for i, x in enumerate(lines)]
+        found = [(i, i, f) for i, x in enumerate(lines) if marked[i] and near[i] and (f := judged(x))]
+        single, i = {a for a, _, _ in found}, 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and near[j]:
+                j += 1
+            if j - i > 1 and not single & set(range(i, j)) and (f := judged(" ".join(lines[i:j]))):
+                found.append((i, j - 1, f))
+            i = max(j, i + 1)
+        runs = sum(bool(re.search(r"[^ \t\n\x0b\f\r]", x)) for x in re.split(r"\n[ \t\n\x0b\f\r]*\n", text or ""))
+        out.append((doc, runs, len(found), ",".join(sorted({f for _, _, f in found})), ",".join(f"{a}-{b}:{f}" for a, b, f in sorted(found))))
+    return out
