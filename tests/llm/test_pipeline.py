@@ -59,9 +59,20 @@ def test_run(spark, sf_dir):
 
 
 def test_odd_tables(spark, odd_docs, empty_docs, sf_dir):
-    for docs in (odd_docs, empty_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs.select(*corpus_pipeline.COLUMNS), sf_dir).count()
+    """Nulls, repeated rows, long and empty texts, extra columns: each stage's defined result."""
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    for stage in stages:
+        assert stage(spark, empty_docs, sf_dir).count() == 0
+    before = sorted((r["doc_id"], r["text"]) for r in odd_docs.where("doc_id is not null and text is not null").collect())
+    good = stages[0](spark, odd_docs, sf_dir)
+    assert good.columns == corpus_pipeline.COLUMNS and {r["doc_id"] for r in good.collect()} <= {d for d, _ in before} | {None, 2}
+    alone = [r["doc_id"] for r in stages[1](spark, odd_docs, sf_dir).collect()]
+    assert {2, 5, 8, 9} <= set(alone) and not {3, 4, 6, 7} & set(alone) and alone.count(5) == 2  # another text under the same id stays
+    assert stages[2](spark, odd_docs, sf_dir).count() == odd_docs.count()
+    clean = {r["doc_id"]: r for r in stages[3](spark, odd_docs, sf_dir).collect()}
+    assert clean[2]["text"] is None and "[secret]" in clean[9]["text"] and clean[9]["n_chars"] == len(clean[9]["text"])
+    packed = stages[4](spark, odd_docs, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in odd_docs.collect()}
     assert secrets.redact(odd_docs).columns == odd_docs.columns
     assert simhash.drop_near_duplicates(odd_docs).columns == odd_docs.columns
 
@@ -72,3 +83,7 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.rmtree(tmp_path / "leafwire" / "llm")
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    shutil.copytree(ROOT / "tests", tmp_path / "tests")
+    shutil.rmtree(tmp_path / "tests" / "llm")
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "tests/test_grammar.py", "tests/test_codec.py", "-q"], cwd=tmp_path, check=True)
