@@ -78,26 +78,6 @@ def infer_scalar(raw: Column | str) -> Column:
     )
 
 
-#: A line that is neither blank nor a plain ``name=value`` without any sign that means more to the format.
-UNUSUAL = r"(?m)^(?! *$)(?![^=:.\[\]<>{}`\n]+=[^<>{}\[\]`\n]*$)"
-
-
-def simple_value(raw: Column | str) -> Column:
-    """The canonical value of a record of nothing but plain ``name=value`` lines in printable ASCII, names all different.
-
-    Null for any other record, and for null: the codec reads those.
-    """
-    text = F.btrim(_col(raw), F.lit(" \n"))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x)) > 0)
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
-    leaves = F.transform(lines, lambda x: F.struct(F.substring_index(x, "=", 1).alias("name"), infer_scalar(F.regexp_replace(x, r"\A[^=]*=", "")).alias("value")))
-    names = F.transform(leaves, lambda x: x["name"])
-    usable = ~F.exists(leaves, lambda x: x["value"].isNull()) & (F.size(F.array_distinct(names)) == F.size(names))
-    whole = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(leaves), lambda x: F.concat(quoted(x["name"]), F.lit(":"), x["value"])), ","), F.lit("}"))
-    plain = _col(raw).rlike(r"\A[\x20-\x7e\n]*\z") & ~text.rlike(UNUSUAL)
-    return F.when(plain, F.when(usable, whole))
-
-
 def strip_think(text: Column | str) -> Column:
     """A reply without one leading block of thoughts."""
     return F.regexp_replace(_col(text), r"(?U)\A\s*(?s:<think>.*?</think>)\s*", "")

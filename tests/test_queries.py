@@ -25,20 +25,6 @@ def test_query_matches_sql(spark, sf_dir, con, name):
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLE_SQL[name]) is None
 
 
-def test_plain_records_are_read_as_the_codec_reads_them(spark):
-    import random
-
-    r = random.Random(3)
-    words = ["a", "b", "=", "=", "\n", "\n", " ", "1", "-0", "1e3", "2.5", "true", "null", ":", ".", "<<<", "[0]", "{", '"', "\\", "`", "é", "k=1", "k=2", "x=", "\t", "\r", "1e400", "123456789012345678", "1e-7", ","]
-    texts = ["".join(r.choice(words) for _ in range(r.randrange(0, 12))) for _ in range(4000)] + ["a=1\n\nb=x y\n", "", " \n ", "a=b=c", "a=1\na=2", "b=1\na=2"]
-    rows = spark.createDataFrame([(t,) for t in texts], "raw string")
-    for lenient in (False, True):
-        read = udfs.decoded(rows, "raw", lenient=lenient).withColumn("want", (udfs.decode_lenient if lenient else udfs.decode)("raw"))
-        wrong = read.where("not (decoded <=> want)").limit(3).collect()
-        assert not wrong, wrong
-    assert rows.where(native.simple_value("raw").isNotNull()).count() > 300
-
-
 def test_one_evaluation_a_record(spark):
     rows = spark.range(5).select(F.concat(F.lit("a="), F.col("id")).alias("raw"))
     read = udfs.decoded(rows, "raw").where("decoded.ok").select("decoded.value", F.size("decoded.repairs"))
