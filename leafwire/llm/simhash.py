@@ -114,6 +114,32 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndar
     return moved, label[moved]
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the edges."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = smallest_labels(len(names), at[: len(u)], at[len(u) :])
+    moved = np.flatnonzero(label != np.arange(len(names)))
+    return names[moved], names[label[moved]]
+
+
+def folded(edges: DataFrame) -> DataFrame:
+    """As few edges (u, v) as connect the same nodes within each task, dealt by u: the many
+    centres that a node has got in different buckets become one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, limit = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1 << 20
+        for batch in batches:
+            us.append(batch.column("u").to_numpy())
+            vs.append(batch.column("v").to_numpy())
+            if sum(map(len, us)) > limit:
+                u, v = contracted(np.concatenate(us), np.concatenate(vs))
+                us, vs, limit = [u], [v], max(limit, 2 * len(u))
+        u, v = contracted(np.concatenate(us), np.concatenate(vs))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.repartition("u").mapInArrow(run, "u long, v long")
+
+
 def stars(rows: DataFrame, words: list[str], radius: int, block: int) -> DataFrame:
     """Edges (u, v) between nodes of ``rows`` (g, node, the fingerprint's words, n) that connect all
     nodes of a bucket g in reach of each other; n: the bucket's rows, null if they are at most ``block``."""
@@ -139,7 +165,7 @@ def stars(rows: DataFrame, words: list[str], radius: int, block: int) -> DataFra
         if len(held[0]):
             yield linked(*held)
 
-    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return folded(rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "u long, v long"))
 
 
 def links(classes: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
