@@ -182,8 +182,9 @@ class BitFilter:
 
         marked = rows.mapInArrow(hashed, "b long, c long").repartition("c").mapInArrow(marks, "c long, flags binary")
         out = np.zeros((1 << bits) // 8, np.uint8)
-        for row in marked.toLocalIterator():
-            out[row["c"] << (chunk - 3) : (row["c"] + 1) << (chunk - 3)] |= np.frombuffer(row["flags"], np.uint8)
+        parts_ = marked.toArrow()  # of the filter's size, in one job
+        for c, flags in zip(parts_.column("c").to_pylist(), parts_.column("flags").to_pylist()):
+            out[c << (chunk - 3) : (c + 1) << (chunk - 3)] |= np.frombuffer(flags, np.uint8)
         return cls(out)
 
 
