@@ -8,7 +8,9 @@ becomes a vantage-point tree.
 
 A query first searches its own cell, then each cell whose lower bound by the triangle inequality is not
 over its k-th best distance times ``factor``; the sides of a tree's nodes are skipped by the same rule.
-Factor 1 is exact, less prunes more. Queries of a cell come in blocks and walk a tree together.
+Factor 1 is exact, less prunes more. Shards that follow each other make a tile; queries come in blocks
+to the tiles that they look in, and a block walks a tree together. The driver holds the vantage points and a
+row for each cell, and a task one tile and one piece of the queries, all of bounded size.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from leafwire.llm.common import keep
 LEAF = 256
 #: Distances are rounded; what ties within this is decided by the exact cosine and the id.
 SLACK = 1e-6
+#: Distances to the top level's points that are held at a time, and tiles there are at least if shards suffice.
+ROOM, TILES = 1 << 20, 64
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,40 +126,98 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def packed(**arrays: np.ndarray) -> bytes:
+def packed(full: np.ndarray, **arrays: np.ndarray) -> bytes:
+    """Vectors that single precision holds exactly take half the room."""
+    with np.errstate(over="ignore"):
+        half = full.astype(np.float32)
     out = io.BytesIO()
-    np.savez(out, **arrays)
+    np.savez(out, full=half if (half == full).all() else full, **arrays)
     return out.getvalue()
 
 
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
+    out = dict(np.load(io.BytesIO(data)))
+    return out | {"full": out["full"].astype(np.float64)}
+
+
 class Cells:
-    """The vantage points of the top level by vector length, and the bounds of their cells."""
+    """The vantage points of the top level by vector length, the bounds of their cells, and the tiles of shards.
+
+    The shards of a length are numbered cell after cell, and ``per_tile`` of them in a row are a tile.
+    """
 
     def __init__(self, points: list[np.ndarray]) -> None:
         self.points = {w: units(np.stack([x for x in points if len(x) == w])) for w in {len(x) for x in points}}
-        self.bounds: dict[tuple[int, int], tuple[float, float]] = {}
+        self.low: dict[int, np.ndarray] = {}
+        self.high: dict[int, np.ndarray] = {}
+        self.first: dict[tuple[int, int], int] = {}  # number of a cell's first shard
+        self.per_tile: dict[int, int] = {}
+        self.tiles: dict[int, dict[int, list[int]]] = {}  # cells of each tile
+
+    def fill(self, stats: list[tuple[int, int, int, float, float]], shard_rows: int, tile_bytes: int) -> None:
+        """``stats``: width, cell, rows, least and largest distance to the cell's point."""
+        for w in {row[0] for row in stats}:
+            own = sorted(row for row in stats if row[0] == w)
+            self.low[w], self.high[w] = (np.full(len(self.points.get(w, ())), x) for x in (np.inf, -np.inf))
+            total = sum(-(-n // shard_rows) for _, _, n, _, _ in own)
+            each = self.per_tile[w] = max(1, min(tile_bytes // (shard_rows * 8 * w), total // TILES))
+            at, tiles = 0, self.tiles.setdefault(w, {})
+            for _, cell, n, low, high in own:
+                if cell >= 0:
+                    self.low[w][cell], self.high[w][cell] = low, high
+                self.first[w, cell] = at
+                for tile in range(at // each, (at - (-n // shard_rows) - 1) // each + 1):
+                    tiles.setdefault(tile, []).append(cell)
+                at += -(-n // shard_rows)
+
+    def far(self, full: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Distances to all points of the length, some rows at a time, so that they take bounded memory."""
+        points = self.points[full.shape[1]]
+        step = max(1, ROOM // len(points))
+        for a in range(0, len(full), step):
+            yield slice(a, a + step), distances(units(full[a : a + step]), points)
 
     def place(self, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell (-1 where there are no vantage points of the length) and distance to its point."""
-        points = self.points.get(full.shape[1])
-        if points is None:
-            return np.full(len(full), -1), np.zeros(len(full))
-        far = distances(units(full), points)
-        cell = far.argmin(1)
-        return cell, far[np.arange(len(full)), cell]
-
-    def gap(self, full: np.ndarray, cell: int) -> np.ndarray:
-        """Lower bound of each query's distance to what is in a cell."""
-        points = self.points.get(full.shape[1])
-        if points is None or cell < 0:
-            return np.zeros(len(full))
-        far = distances(units(full), points)
-        low, high = self.bounds[full.shape[1], cell]
-        own = far[:, cell]
-        return np.maximum((own - far.min(1)) / 2, np.maximum(own - high, low - own))
-
-
-def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 0.2, shard_rows: int = 2048, block: int = 512, most_cells: int = 4096) -> DataFrame:
+        cell, least = np.full(len(full), -1), np.zeros(len(full))
+        if full.shape[1] in self.points:
+            for at, far in self.far(full):
+                cell[at], least[at] = far.argmin(1), far.min(1)
+        return cell, least
+
+    def wanted(self, q: dict[str, np.ndarray], factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each tile with the queries that look in it: their own cell at first, and with bounds all
+        other cells whose lower bound of the distance is not over a query's own."""
+        full, home = q["full"], q["home"]
+        w = full.shape[1]
+        need = None
+        if "bound" in q and w in self.points:
+            need = np.zeros((len(full), len(self.points[w])), bool)
+            for at, far in self.far(full):
+                gap = np.maximum((far - q["least"][at, None]) / 2, np.maximum(far - self.high[w], self.low[w] - far))
+                need[at] = gap <= factor * q["bound"][at, None] + SLACK
+            need[np.arange(len(full)), home] = False
+        for tile, cells in self.tiles.get(w, {}).items():
+            if "bound" not in q:
+                hit = np.isin(home, cells)
+            elif need is None:
+                continue  # there is no other cell
+            else:
+                hit = need[:, cells].any(1)
+            if hit.any():
+                yield tile, hit
+
+    def open(self, q: dict[str, np.ndarray], cell: int, factor: float) -> np.ndarray:
+        """The queries that look in a cell."""
+        w = q["full"].shape[1]
+        if "bound" not in q or cell < 0:
+            return (q["home"] == cell) & ("bound" not in q)
+        far = distances(q["unit"], self.points[w][cell][None])[:, 0]
+        gap = np.maximum((far - q["least"]) / 2, np.maximum(far - self.high[w][cell], self.low[w][cell] - far))
+        return (gap <= factor * q["bound"] + SLACK) & (q["home"] != cell)
+
+
+def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float = 0.2, shard_rows: int = 2048, block: int = 512, most_cells: int = 4096, tile_bytes: int = 64 << 20, ask_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``embeddings`` (vec_id, embedding) that is a query.
 
     Candidates are all rows but those of the query's own id. Vectors that are null, empty, zero, or
@@ -164,6 +226,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float =
     and vector count once; an id with several vectors is a candidate by its nearest one and asks with
     each. Other columns are ignored; an empty table gives an empty result. ``most_cells`` bounds what
     the driver holds of the top level; more rows make more shards of a cell, never fewer candidates.
+    ``tile_bytes`` and ``ask_bytes`` bound the vectors and the queries that a task holds at once; they change no row.
     """
     v = F.col("embedding").cast("array<double>")
     size = F.array_max(F.transform(v, F.abs))
@@ -189,9 +252,10 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float =
 
     placed = keep(classes.mapInPandas(assign, "key long, v array<double>, ids array<long>, width int, cell int, far double"))
     stats = placed.groupBy("width", "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()
-    cells.bounds = {(r["width"], r["cell"]): (r["low"], r["high"]) for r in stats}
+    cells.fill([tuple(r) for r in stats], shard_rows, tile_bytes)
     spark = embeddings.sparkSession
-    parts = F.broadcast(spark.createDataFrame([(r["width"], r["cell"], -(-r["n"] // shard_rows)) for r in stats], "width int, cell int, parts int"))  # a row for each cell
+    numbered = [(r["width"], r["cell"], -(-r["n"] // shard_rows), cells.first[r["width"], r["cell"]], cells.per_tile[r["width"]]) for r in stats]
+    parts = F.broadcast(spark.createDataFrame(numbered, "width int, cell int, parts int, first long, each int"))  # a row for each cell
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
@@ -199,51 +263,64 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 5, factor: float =
         ids = np.full((len(pdf), k + 1), np.iinfo(np.int64).max)
         for i, x in enumerate(pdf.ids):
             ids[i, : len(x)] = x
-        return pd.DataFrame([(pdf.width.iloc[0], pdf.cell.iloc[0], packed(full=full, ids=ids, **build(units(full))))], columns=["width", "cell", "tree"])
+        return pd.DataFrame([(pdf.width.iloc[0], pdf.cell.iloc[0], pdf.tile.iloc[0], packed(full, ids=ids, **build(units(full))))], columns=["width", "cell", "tile", "tree"])
 
     shards = placed.join(parts, ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")))
-    trees = keep(shards.groupBy("width", "cell", "part").applyInPandas(index, "width int, cell int, tree binary"))
+    shards = shards.withColumn("tile", F.floor((F.col("first") + F.col("part")) / F.col("each")).cast("int")).drop("parts", "first", "each")
+    trees = keep(shards.groupBy("width", "cell", "part").applyInPandas(index, "width int, cell int, tile int, tree binary"))
     asked = keep(single.where(is_query).mapInPandas(assign, "vec_id long, v array<double>, key long, width int, cell int, far double"))
-    blocks = asked.groupBy("width", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each cell
-    asked = asked.join(F.broadcast(blocks), ["width", "cell"]).withColumn("b", F.pmod(F.xxhash64("vec_id", "key"), F.col("blocks")))
-
-    def block_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The queries of a block; its cells are its own at first, then all others that some query may need."""
-        pdf = pdf.sort_values(["vec_id", "key"])
-        full, home, width = np.stack(pdf.v.to_list()), int(pdf.cell.iloc[0]), int(pdf.width.iloc[0])
-        asked_ = dict(ids=pdf.vec_id.to_numpy(np.int64), keys=pdf.key.to_numpy(np.int64), full=full)
-        if "bound" not in pdf:
-            return pd.DataFrame([(width, packed(**asked_), [home])], columns=["width", "asked", "cells"])
-        bound = pdf.bound.to_numpy(np.float64)
-        others = [c for w, c in sorted(cells.bounds) if w == width and c != home and (cells.gap(full, c) <= factor * bound + SLACK).any()]
-        return pd.DataFrame([(width, packed(bound=bound, **asked_), others)], columns=["width", "asked", "cells"])
-
-    def look(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = asked.agg(F.coalesce(F.sum(F.col("width") * 8 + 40), F.lit(0))).first()[0]
+    pieces = max(1, -(-held // ask_bytes))  # into which the queries are dealt once they look in all cells
+
+    def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of queries for each tile that some of them look in."""
         for pdf in batches:
-            for cell, tree_bytes, asked_bytes in zip(pdf.cell, pdf.tree, pdf.asked):
-                t, q = (dict(np.load(io.BytesIO(x))) for x in (tree_bytes, asked_bytes))
-                if "bound" in q:
-                    live = cells.gap(q["full"], cell) <= factor * q["bound"] + SLACK
-                    q = {name: x[live] for name, x in q.items()}
-                query, row = search(units(t["full"]), t, units(q["full"]), wide, factor, q.get("bound"))
+            for width, some in pdf.groupby("width"):
+                for a in range(0, len(some), block):
+                    part = some.iloc[a : a + block]
+                    q = dict(ids=part.vec_id.to_numpy(np.int64), keys=part.key.to_numpy(np.int64), home=part.cell.to_numpy(), least=part.far.to_numpy(), full=np.stack(part.v.to_list()))
+                    if "bound" in part:
+                        q["bound"] = part.bound.to_numpy(np.float64)
+                    piece = int(part.key.iloc[0]) % pieces if "bound" in part else 0
+                    for tile, hit in cells.wanted(q, factor):
+                        yield pd.DataFrame([(width, tile, piece, packed(**{name: x[hit] for name, x in q.items()}))], columns=["width", "tile", "piece", "asked"])
+
+    names = ["query_id", "query_key", "vec_id", "score"]
+
+    def look(shards: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of a tile for each query of a piece."""
+        if shards.empty or asks.empty:
+            return pd.DataFrame({name: pd.Series(dtype=float if name == "score" else np.int64) for name in names})
+        held = [(cell, t, units(t["full"])) for cell, t in zip(shards.cell, map(unpacked, shards.tree))]
+        best = []
+        for data in asks.asked:
+            q = unpacked(data)
+            q["unit"] = units(q["full"])
+            found = []
+            for cell, t, unit in held:
+                live = np.flatnonzero(cells.open(q, cell, factor))
+                query, row = search(unit, t, q["unit"][live], wide, factor, q["bound"][live] if "bound" in q else None)
+                query = live[query]
                 score = cosines(q["full"][query], t["full"][row])
                 ids = t["ids"][row]
                 i, j = np.nonzero((ids != np.iinfo(np.int64).max) & (ids != q["ids"][query][:, None]))
-                out = pd.DataFrame({"query_id": q["ids"][query[i]], "query_key": q["keys"][query[i]], "vec_id": ids[i, j], "score": score[i]})
-                out = out.sort_values(["query_id", "query_key", "score", "vec_id"], ascending=[True, True, False, True]).drop_duplicates(["query_id", "query_key", "vec_id"])
-                yield out.groupby(["query_id", "query_key"]).head(k)
+                found.append(pd.DataFrame({"query_id": q["ids"][query[i]], "query_key": q["keys"][query[i]], "vec_id": ids[i, j], "score": score[i]}))
+            out = pd.concat(found).sort_values(names[:2] + ["score", "vec_id"], ascending=[True, True, False, True]).drop_duplicates(names[:3])
+            best.append(out.groupby(names[:2]).head(k))
+        return pd.concat(best)
 
-    def looked(queries: DataFrame) -> DataFrame:
-        ask = queries.groupBy("width", "cell", "b").applyInPandas(block_of, "width int, asked binary, cells array<int>")
-        ask = ask.select("width", "asked", F.explode("cells").alias("cell"))
-        return trees.join(ask, ["width", "cell"]).select("cell", "tree", "asked").mapInPandas(look, "query_id long, query_key long, vec_id long, score double")
+    def looked(queries: DataFrame, pieces: int = 1) -> DataFrame:
+        by = ["width", "tile", "piece"]
+        ask = queries.mapInPandas(send, "width int, tile int, piece int, asked binary")
+        dealt = trees.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        return dealt.groupBy(*by).cogroup(ask.groupBy(*by)).applyInPandas(look, "query_id long, query_key long, vec_id long, score double")
 
     own = keep(looked(asked))
     best = own.groupBy("query_id", "query_key", "vec_id").agg(F.max("score").alias("score"))
     best = best.withColumn("rank", F.expr("row_number() over (partition by query_id, query_key order by score desc)")).where(F.col("rank") <= k)
     best = best.groupBy("query_id", "query_key").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
     bound = best.select(F.col("query_id").alias("vec_id"), F.col("query_key").alias("key"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).alias("bound"))
-    rest = looked(asked.join(bound, ["vec_id", "key"], "left").withColumn("bound", F.coalesce("bound", F.lit(4.0))))
+    rest = looked(asked.join(bound, ["vec_id", "key"], "left").withColumn("bound", F.coalesce("bound", F.lit(4.0))), pieces)
     found = own.unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

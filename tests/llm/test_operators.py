@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, on real rows and on odd ones."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -61,6 +62,37 @@ def test_neighbours_of_ids_with_several_vectors(spark):
     assert [x["vec_id"] for x in got.orderBy("rank").collect()] == [7, 1, 2, 3, 4]
 
 
+def test_neighbours_memory_of_many_cells():
+    """A batch against the most cells there are: what is held must not be rows times cells."""
+    r = np.random.default_rng(3)
+    points, full = r.standard_normal((4096, 8)), r.standard_normal((10000, 8))
+    cells = vptree.Cells(list(points))
+    tracemalloc.start()
+    cell, far = cells.place(full)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    some = slice(0, 300)
+    every = vptree.distances(vptree.units(full[some]), vptree.units(points))
+    assert np.allclose(every.min(1), far[some]) and np.allclose(every[np.arange(300), cell[some]], far[some])
+
+
+@pytest.mark.parametrize("options", [{"tile_bytes": 1, "ask_bytes": 1 << 11}, {"tile_bytes": 1 << 14, "ask_bytes": 1 << 9, "block": 5}])
+def test_neighbours_by_tiles(spark, options, monkeypatch):
+    """Tiles of one shard or of several, and queries in one piece or many, give the same rows."""
+    monkeypatch.setattr(vptree, "TILES", 1)
+    r = random.Random(4)
+    items = [(i, [r.gauss(0, 1) for _ in range(8 - i % 2)], 0, 0.0) for i in range(600)]
+    got = vptree.nearest(vectors(spark, items), F.col("vec_id") % 20 == 0, factor=1.0, shard_rows=32, **options)
+    fine = {i: np.array(v, np.float32).astype(float) for i, v, *_ in items}
+    want = []
+    for q, x in fine.items():
+        if q % 20 == 0:
+            near = sorted((-float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), i) for i, y in fine.items() if i != q and len(y) == len(x))[:5]
+            want += [(q, k + 1, i) for k, (_, i) in enumerate(near)]
+    assert rows(got, "query_id", "rank", "vec_id") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("factor,least", [(0.2, 0.9), (1.0, 1.0)])
 def test_neighbours_recall(spark, sf_dir, factor, least):
     """Against brute force in numpy, with many small cells and shards."""
