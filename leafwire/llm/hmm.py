@@ -6,10 +6,8 @@ frequent training words, and the end, is a class of its own; all other words sha
 proportion to their smoothed counts, so that the probabilities of all words sum to one.
 A text's likelihood is the scaled forward recursion.
 
-Each text is split once and written as class ids. Rounds of Baum-Welch read these: the first ones
-a share of the training documents, which doubles to all of them, so that every round grows
-with the input and the last one takes in every token of every training document. Expected counts are
-summed across partitions by Spark and make the next parameters.
+Each text is split once and written as class ids. Every round of Baum-Welch reads these for every token
+of every training document. Expected counts are summed across partitions by Spark and make the next parameters.
 
 Counts of the common words are broadcast (their number is a parameter); a rare word's
 count reaches its documents by an equi-join on the word, which cannot be
@@ -25,19 +23,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwire.llm.common import keep, remainder, remove, shared_folder, slices, texts
 
+#: Steps of the recursion after which rows are scaled; as many emissions in a row stay far above the least double.
+SCALED = 8
+
 
 @dataclass
 class Setting:
     states: int = 6
     common: int = 8000
     rare: int = 192
-    #: Share of the training documents, by a hash of the id, that each round of Baum-Welch reads.
-    shares: tuple[float, ...] = (1 / 16, 1 / 16, 1 / 16, 1 / 8, 1 / 8, 1 / 4, 1 / 2, 1.0)
+    #: Share of the training documents, by a hash of the id, that each round of Baum-Welch reads: all of them
+    #: unless a caller asks for less.
+    shares: tuple[float, ...] = (1.0,) * 8
 
 
 @dataclass
@@ -115,8 +118,10 @@ def classes_of(model: Model, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     found = pa.array(runs, pa.binary()).dictionary_encode()
     words, codes = found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
     base, rare = model.end + 1, model.setting.rare
-    known, crc = model.words, zlib.crc32
-    own = np.fromiter([known[w] if w in known else base + crc(w) % rare for w in words], np.int64, len(words))
+    known = pc.index_in(found.dictionary, value_set=pa.array(list(model.words), pa.binary())).fill_null(-1).to_numpy()
+    own = np.append(np.fromiter(model.words.values(), np.int64, len(model.words)), -1)[known]
+    other = np.flatnonzero(known < 0)
+    own[other] = base + np.fromiter((rare_class(words[i], rare) for i in other.tolist()), np.int64, len(other))
     ends = np.cumsum(sizes) - 1
     inner = np.ones(int(sizes.sum()), bool)
     inner[ends] = False
@@ -130,55 +135,54 @@ def classes_of(model: Model, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 def forward(model: Model, kind: np.ndarray, sizes: np.ndarray, back: bool = False):
     """log10 of each text's class sequence; with ``back`` also the expected counts.
 
-    Texts go side by side, longest first: step t handles all that have a token t.
+    Texts go side by side, longest first: step t handles all that have a token t, and its rows follow those of
+    step t - 1 in every array. Rows are scaled to sum to one at each SCALED-th step only.
     """
     order = np.argsort(-sizes, kind="stable")
     starts = (np.cumsum(sizes) - sizes)[order]
     longest = int(sizes.max())
     live = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), side="right")
-    emit, move = model.emit, model.move
-    result = np.zeros(len(sizes))
-    alpha = model.start[None, :] * emit[kind[starts]]
-    scale = alpha.sum(1)
-    alpha /= scale[:, None]
-    np.log10(scale, out=result)
-    kept, scales = [alpha.astype(np.float32)], [scale]
+    bounds = np.concatenate([[0], np.cumsum(live)])
+    step = np.repeat(np.arange(longest), live)
+    row = np.arange(len(step)) - bounds[step]
+    own = kind[starts[row] + step]
+    classes, states = model.emit.shape
+    emit, move = model.emit[own], model.move
+    alpha, ones = np.empty_like(emit), np.ones(states)
+    ends = bounds.tolist()
+    scales: dict[int, np.ndarray] = {}
+    logs = np.zeros(len(sizes))
+    np.multiply(model.start, emit[: ends[1]], out=alpha[: ends[1]])
     for t in range(1, longest):
-        n = live[t]
-        alpha = (alpha[:n] @ move) * emit[kind[starts[:n] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        result[:n] += np.log10(scale)
-        if back:
-            kept.append(alpha.astype(np.float32))
-            scales.append(scale)
+        x, y = ends[t], ends[t + 1]
+        now = alpha[x:y]
+        np.matmul(alpha[ends[t - 1] : ends[t - 1] + y - x], move, out=now)
+        now *= emit[x:y]
+        if not t % SCALED:
+            scales[t] = now @ ones
+            now /= scales[t][:, None]
+            logs[: y - x] += np.log10(scales[t])
+    last = bounds[sizes[order] - 1] + np.arange(len(sizes))
+    tail = alpha[last] @ ones
     out = np.empty(len(sizes))
-    out[order] = result
+    out[order] = logs + np.log10(tail)
     if not back:
         return out
-    moves = np.zeros_like(move)
-    emits = np.zeros((emit.shape[1], emit.shape[0]))
-    classes, states = emit.shape
-    beta = np.ones((live[-1], states))
-    seen, gammas = [], []
-    for t in range(longest - 1, -1, -1):
-        n = live[t]
-        if t < longest - 1:
-            m = live[t + 1]
-            step = beta * emit[kind[starts[:m] + t + 1]] / scales[t + 1][:, None]
-            moves += kept[t][:m].T @ step
-            beta = np.concatenate([step @ move.T, np.ones((n - m, states))])
-        gammas.append(kept[t] * beta)
-        seen.append(kind[starts[:n] + t])
-        if len(seen) >= 512 or not t:
-            g, c = np.concatenate(gammas), np.concatenate(seen)
-            g /= g.sum(1, keepdims=True)
-            for s in range(states):
-                emits[s] += np.bincount(c, g[:, s], classes)
-            if not t:
-                first = g[-n:].sum(0)
-            seen, gammas = [], []
-    return out, first, moves * move, emits.T
+    beta = np.empty_like(emit)
+    beta[last] = 1 / tail[:, None]
+    for t in range(longest - 1, 0, -1):  # emit becomes what moves lead to
+        x, y = ends[t], ends[t + 1]
+        now = emit[x:y]
+        now *= beta[x:y]
+        if t in scales:
+            now /= scales[t][:, None]
+        np.matmul(now, move.T, out=beta[ends[t - 1] : ends[t - 1] + y - x])
+    first = ends[1]
+    moves = alpha[bounds[step[first:] - 1] + row[first:]].T @ emit[first:]
+    beta *= alpha
+    beta /= (beta @ ones)[:, None]
+    emits = np.stack([np.bincount(own, beta[:, i], classes) for i in range(states)], 1)
+    return out, beta[:first].sum(0), moves * move, emits
 
 
 def parameters(model: Model, first: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> None:
@@ -258,7 +262,7 @@ def encoded(docs: DataFrame, model: Model, folder: str) -> DataFrame:
 
     hashed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30))
     rows = hashed.mapInArrow(run, f"doc_id {kind_}, held_out boolean, h double, kinds binary, n_tokens long, known long, base double, bag array<binary>, tf array<int>")
-    rows.withColumn("row", F.monotonically_increasing_id()).sortWithinPartitions("h").write.option("compression", "zstd").parquet(folder)  # sorted, so that a share skips pages
+    rows.withColumn("row", F.monotonically_increasing_id()).sortWithinPartitions("n_tokens").write.option("compression", "zstd").parquet(folder)  # sorted, so that texts of a batch take about as many steps
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -271,7 +275,7 @@ def read_kinds(model: Model, batches: Iterable[pa.RecordBatch], tokens: int = 1
 
 
 def train(rows: DataFrame, model: Model) -> None:
-    """Baum-Welch over ``rows`` (h, kinds), a share of them at first and all of them at last."""
+    """Baum-Welch over ``rows`` (h, kinds); each round reads its share of them, all by default."""
     k = model.setting.states
     for share in model.setting.shares if model.ends else ():
         held = rows.sparkSession.sparkContext.broadcast(model)

@@ -594,6 +594,19 @@ def test_scores_against_a_plain_recursion(small_docs, small_pairs):
         assert abs(got[doc] - total) < 1e-3 * max(1, abs(total)), doc
 
 
+def test_every_round_reads_all_training_documents(small_docs, small_pairs):
+    """The fitted states against as many plain rounds, each over all texts."""
+    setting = hmm.Setting(states=2, common=50, rare=4)
+    model, _ = hmm.fit(small_docs, setting)
+    plain, _ = hmm.statistics(small_docs, setting)
+    kind, sizes, _, _ = hmm.classes_of(plain, [(t or "").encode() for _, t in small_pairs])
+    for _ in setting.shares:
+        hmm.parameters(plain, *hmm.forward(plain, kind, sizes, back=True)[1:])
+    assert len(setting.shares) == 8
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(model, name), getattr(plain, name), rtol=1e-6)
+
+
 def test_language_model_of_one_very_long_text(spark):
     text = "a b c d e f g h " * 30_000
     docs = spark.createDataFrame([(1, text), (2, None), (3, "a b")], "doc_id long, text string")
