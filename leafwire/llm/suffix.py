@@ -1,10 +1,10 @@
 """Suffix arrays by induced sorting, in numpy, and permuted common prefixes.
 
 Suffixes are classified as smaller or larger than the next one; the leftmost-smaller
-(LMS) substrings are sorted by one round of induction, named, ordered by recursion on the names until
-all names differ, and a second round induces all suffixes from them. A round goes bucket by bucket, each bucket
-in waves of whole arrays: what a wave induces into its own bucket is the next wave. The names of
-a recursion are nearly as many as their places; there the same round goes suffix by suffix.
+(LMS) substrings are sorted by one round of induction, named, ordered by their names and those after them
+until all differ, and a second round induces all suffixes from them. A round goes bucket by bucket, each bucket
+in waves of whole arrays: what a wave induces into its own bucket is the next wave. The names are nearly as
+many as their places, where buckets would hold hardly any; their order is refined by doubling instead.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def placed(symbols: np.ndarray, values: np.ndarray, out: np.ndarray, heads: np.n
     """Append values to their symbols' buckets, in order, forwards or backwards."""
     if not len(values):
         return
-    order = np.argsort(symbols, kind="stable")
+    order = np.argsort(symbols.astype(np.uint16) if len(heads) <= 1 << 16 else symbols, kind="stable")  # 16 bits are sorted in linear time
     symbols, values = symbols[order], values[order]
     first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
     counts = np.diff(np.append(first, len(symbols)))
@@ -43,7 +43,7 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray
     used = np.flatnonzero(np.diff(bounds))
     heads, tails = bounds[:-1].copy(), bounds[1:].copy()
     own = s[lms]
-    by = np.argsort(own, kind="stable")
+    by = np.argsort(own.astype(np.uint16) if len(bounds) <= 1 << 16 else own, kind="stable")
     seeds, cuts = lms[by], np.searchsorted(own[by], np.arange(len(bounds)))
 
     def before(wave: np.ndarray, kind: bool) -> np.ndarray:
@@ -118,6 +118,32 @@ def names_of(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """The suffix array of names whose last one is the least and occurs once.
+
+    A suffix's rank is the first place of those that agree with it in their first k names; the ranks k
+    further on order each such group, and a round looks at groups of more than one only.
+    """
+    counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
+    live, k = np.flatnonzero(counts[names] > 1), 1
+    padded = np.append(rank, -1)
+    while len(live):
+        key = padded[live] * (len(names) + 1) + padded[np.minimum(live + k, len(names))] + 1
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        old = padded[live]
+        here = np.arange(len(live))
+        head = np.concatenate([[True], old[1:] != old[:-1]])
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        padded[live] = old + np.maximum.accumulate(np.where(fresh, here, 0)) - np.maximum.accumulate(np.where(head, here, 0))
+        live = live[~(fresh & np.append(fresh[1:], True))]
+        k *= 2
+    out = np.empty(len(names), np.int64)
+    out[padded[:-1]] = np.arange(len(names))
+    return out
+
+
 def suffix_array(s: np.ndarray, symbols: int | None = None) -> np.ndarray:
     """Of integers whose last one is the least and occurs once."""
     s = np.asarray(s, np.int64)
@@ -134,7 +160,7 @@ def suffix_array(s: np.ndarray, symbols: int | None = None) -> np.ndarray:
     order = first[is_lms[first]]
     names = names_of(s, lms, order)
     if names[np.argmax(names)] + 1 < len(lms):
-        order = lms[suffix_array(names)]
+        order = lms[doubled(names)]
     return by(s, small, order, bounds)
 
 

@@ -228,6 +228,21 @@ def test_suffix_arrays():
             assert got[a] == m
 
 
+def test_suffixes_of_names_by_doubling(monkeypatch):
+    """Against sorting, and no text of bytes goes suffix by suffix."""
+
+    def never(*_):
+        raise AssertionError("suffix by suffix")
+
+    monkeypatch.setattr(suffix, "induce_singly", never)
+    r = np.random.default_rng(5)
+    for n, symbols in ((1, 1), (50, 1), (300, 2), (300, 40)):
+        names = np.append(r.integers(1, symbols + 1, n - 1), 0)
+        assert suffix.doubled(names).tolist() == sorted(range(n), key=lambda i: names[i:].tolist())
+    s = np.append(np.tile(r.integers(2, 250, 700), 6) + (r.random(4200) < 0.001), 0)
+    assert suffix.suffix_array(s, 258).tolist() == sorted(range(len(s)), key=lambda i: s[i : i + 5000].tolist())
+
+
 def test_suffix_arrays_of_real_text(small_pairs):
     """Large alphabets in the recursion: names of nearly all places differ."""
     data = " ".join(t or "" for _, t in small_pairs).encode()[:40_000]
