@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwire.llm.common import keep, lookup, slices, texts, unused
@@ -183,19 +183,17 @@ def links(classes: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (u, v).
 
-    Alternates large-star and small-star steps until nothing moves; each is a partial minimum and an
-    equi-join, so a vertex with very many edges is split like any skewed join.
+    Alternates large-star and small-star steps until nothing moves. A step deals its edges by vertex once and
+    takes each vertex's smallest neighbour over that; the edges of one vertex are sorted and spilled, not held.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e if not large else e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(low, "u")
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else e
+        low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
         if large:  # larger neighbours move to the smallest one
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:  # a vertex and its smaller neighbours move to the smallest one
-            out = joined.select("v", "m").union(low.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.where("u <> v").distinct()
+            return low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a vertex and its smaller neighbours move to the smallest one
+        return low.select(F.inline(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")]))).where("u <> v").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -205,8 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
     while now != was:
         e = keep(star(star(e, True), False))
         was, now = now, state(e)
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root"))).distinct()
+    return e.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.col("v").alias("root")) for c in ("u", "v")]))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, block: int = 2000) -> DataFrame:

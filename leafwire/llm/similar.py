@@ -178,7 +178,7 @@ def linked(sets: list[np.ndarray], roots: np.ndarray, least: float = LEAST) -> l
 
 
 def rest_links(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Edges (u, v) between the rows (k, node, root) of each rough component k that has several roots."""
+    """Edges (u, v) between the roots of the rows (k, node, root) of each rough component k that has several."""
     full = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("k", "n")
     rows = rows.join(full, "k").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -186,24 +186,23 @@ def rest_links(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     rows = rows.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "root").join(sets, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, roots, held = None, [], [], []
+        group, roots, held = None, [], []
 
         def edges() -> pa.RecordBatch:
             found = linked(held, np.array(roots)) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([roots[i] for i, _ in found], pa.int64()), pa.array([roots[j] for _, j in found], pa.int64())], ["u", "v"])
 
         for batch in batches:
             items = batch.column("items")
-            for i, (g, node, root) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("g", "node", "root")))):
+            for i, (g, root) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("g", "root")))):
                 if g != group:
                     yield edges()
-                    group, nodes, roots, held = g, [], [], []
-                nodes.append(node)
+                    group, roots, held = g, [], []
                 roots.append(root)
                 held.append(items[i].values.to_numpy())
         yield edges()
 
-    return rows.select("g", "node", "root", "items").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
+    return rows.select("g", "root", "items").repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct()
 
 
 def rough(classes: DataFrame, plan: Tables, block: int = 2000) -> DataFrame:
@@ -232,13 +231,15 @@ def near_copies(docs: DataFrame, block: int = 500, fill: int = FILL) -> DataFram
     pairs = rows.where("node <> k").select(F.col("k").alias("u"), F.col("node").alias("v"))
     pairs = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v").join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("a", "b")))
-    edges = keep(pairs.where(F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= LEAST).select("u", "v"))
-    found = keep(components(edges))
-    rest = rows.join(found, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root"))
-    more = keep(rest_links(rest, sets, block))
+    near = F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")) >= LEAST
+    # k is the smallest of its rough component, so that its links are stars as they are
+    judged = pairs.select(F.col("u").alias("k"), F.col("v").alias("node"), F.when(near, F.col("u")).otherwise(F.col("v")).alias("root"))
+    found = keep(rows.where("node = k").select("k", "node", F.col("k").alias("root")).union(judged))
+    more = keep(rest_links(found, sets, block))
     if not more.isEmpty():
-        found = keep(components(edges.union(more)))
-    label = named.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+        top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        found = found.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    label = keep(named.join(found.select("node", "root"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
     lowest = label.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = label.join(lowest, "root").select("node", "component_id")
     return marked.select("doc_id", "node").join(label, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")

@@ -1,9 +1,10 @@
 """The pipeline's near-dedup stage against brute force over five-word shingles."""
 
 import random
+import uuid
 
 import corpus_pipeline
-from leafwire.llm import similar
+from leafwire.llm import simhash, similar
 
 
 def shingles(text):
@@ -51,6 +52,53 @@ def test_groups_of_near_copies(spark):
         assert {x["doc_id"] for x in judged if x["doc_id"] == x["component_id"]} == brute(plain)
 
 
+def tasks_of(spark, act):
+    """What ``act`` gives, and the tasks it took with 16 partitions in each shuffle."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    name = uuid.uuid4().hex
+    try:
+        for k, v in zip(was, ("16", "false")):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(name, name)
+        out = act()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    seen = spark.sparkContext.statusTracker()
+    stages = {i for job in seen.getJobIdsForGroup(name) for i in seen.getJobInfo(job).stageIds}
+    return out, sum(x.numCompletedTasks for x in map(seen.getStageInfo, stages) if x)
+
+
+def test_components_of_chains_stars_and_random_edges_take_few_tasks(spark):
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(3000 + r.randrange(300), 3000 + r.randrange(300)) for _ in range(250)]
+    parent = {x: x for e in edges for x in e}
+    for _ in parent:
+        for u, v in edges:
+            parent[u] = parent[v] = min(parent[u], parent[v])
+    got, tasks = tasks_of(spark, lambda: simhash.components(spark.createDataFrame(edges * 2, "u long, v long").repartition(16)).collect())
+    alone = {u for u, v in edges if u == v} - {x for u, v in edges if u != v for x in (u, v)}
+    assert sorted(map(tuple, got)) == sorted((n, p) for n, p in parent.items() if n not in alone)
+    assert tasks < 1400
+
+
+def test_groups_of_near_copies_take_few_tasks(spark):
+    """The disk of a run of many small tasks is their shuffle files; this is what the pipeline failed by."""
+    r = random.Random(6)
+    plain = []
+    for _ in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for _ in range(30):
+            base = list(base)
+            base[r.randrange(200)] = f"w{r.randrange(10**6)}"
+            plain.append((len(plain), " ".join(base)))
+    docs = spark.createDataFrame(plain, "doc_id long, text string")
+    got, tasks = tasks_of(spark, lambda: similar.near_copies(docs).collect())
+    assert {x["doc_id"] for x in got if x["doc_id"] == x["component_id"]} == brute(plain)
+    assert tasks < 1900
+
+
 def test_tables_catch_pairs_of_the_least_similarity():
     import numpy as np
 
