@@ -183,16 +183,19 @@ def links(classes: DataFrame, radius: int = 3, block: int = 2000) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (u, v).
 
-    Alternates large-star and small-star steps until nothing moves. A step deals its edges by vertex once and
-    takes each vertex's smallest neighbour over that; the edges of one vertex are sorted and spilled, not held.
+    Alternates large-star and small-star steps until nothing moves. Edges go from the larger vertex, and only smaller
+    neighbours decide where a vertex moves, so a root's many edges are never gathered: they are the
+    plain side of an equi-join with the partial minima.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))) if large else e
-        low = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
-        if large:  # larger neighbours move to the smallest one
-            return low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a vertex and its smaller neighbours move to the smallest one
+    def large(e: DataFrame) -> DataFrame:
+        """A vertex's larger neighbours move to the smallest one."""
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        return e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+
+    def small(e: DataFrame) -> DataFrame:
+        """A vertex and its smaller neighbours move to the smallest one."""
+        low = e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         return low.select(F.inline(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")]))).where("u <> v").distinct()
 
     def state(e: DataFrame) -> tuple:
@@ -201,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     was, now = None, state(e)
     while now != was:
-        e = keep(star(star(e, True), False))
+        e = keep(small(large(e)))
         was, now = now, state(e)
     return e.select(F.inline(F.array(*[F.struct(F.col(c).alias("node"), F.col("v").alias("root")) for c in ("u", "v")]))).distinct()
 
