@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafwire.functions import native, udfs
 from leafwire.operators import corpus, evaluate, hygiene, mutate, report
 from leafwire.plans import stages
-from leafwire.plans.queries import SCORES_SQL, lines, pairs, query, score_pairs, splits, table, value
+from leafwire.plans.queries import SCORES_SQL, lines, pairs, query, records, score_pairs, splits, table, value
 from leafwire.sources import jsonl
 
 def scratch(spark: SparkSession) -> str:
@@ -246,7 +246,7 @@ def perturbed_schemas(spark, sf_dir):
     derived = mutate.schema_of({"name": "x", "size": 1, "more": {"big": True, "tags": ["a"]}})
     named = {"as_derived": derived, **mutate.perturbed_schemas(derived)}
     raw = F.concat(F.lit("name="), "p_name", F.lit("\nsize="), F.col("p_size").cast("string"), F.lit("\nmore.big=true\nmore.tags[0]="), "p_brand")
-    rows = table(spark, sf_dir, "part").select(raw.alias("raw"), F.explode(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])).alias("change", "schema"))
+    rows = records(spark, sf_dir, "part").select(raw.alias("raw"), F.explode(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])).alias("change", "schema"))
     return udfs.decoded(rows, "raw", schema="schema").groupBy("change").agg(F.count("*").alias("n"), F.count_if("decoded.ok").alias("n_ok"))
 
 

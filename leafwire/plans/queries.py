@@ -33,11 +33,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores is dealt out to all of them, since a decode
-    costs far more than moving its text; any other stays as it is."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+#: The column by which a table's rows are dealt out, and how many bytes of a table make a task.
+KEYS = {"customer": "c_custkey", "documents": "doc_id", "events": "event_id", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+SHARE = 1 << 20
+
+
+def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for decoding, dealt out to all cores, and to more tasks as it grows.
+
+    A row group is never divided: in how many splits a file may be read says nothing of how many tasks have rows,
+    and a decode costs far more than moving its text.
+    """
+    df = table(spark, sf_dir, name)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-size // SHARE)), KEYS[name])
 
 
 def lines(**leaves: Column | str) -> Column:
@@ -55,8 +64,8 @@ def flag(c: Column) -> Column:
 
 @query("""select o_orderstatus, o_orderpriority, count(*) as n, sum(o_orderkey)::bigint as sum_key from orders group by 1, 2""")
 def decode_bare_rollup(spark, sf_dir):
-    raw = table(spark, sf_dir, "orders").select(lines(key="o_orderkey", status="o_orderstatus", priority="o_orderpriority").alias("raw"))
-    rows = udfs.decoded(spread(raw), "raw").select(value("key bigint, status string, priority string").alias("v"))
+    raw = records(spark, sf_dir, "orders").select(lines(key="o_orderkey", status="o_orderstatus", priority="o_orderpriority").alias("raw"))
+    rows = udfs.decoded(raw, "raw").select(value("key bigint, status string, priority string").alias("v"))
     return rows.groupBy(F.col("v.status").alias("o_orderstatus"), F.col("v.priority").alias("o_orderpriority")).agg(F.count("*").alias("n"), F.sum("v.key").alias("sum_key"))
 
 
@@ -115,8 +124,8 @@ def block(text: Column | str, closer: str) -> Column:
 
 @query("""select doc_id, n_chars, md5(text) as digest from documents""")
 def decode_multiline(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", block("text", "\n>>>7f2a").alias("raw"))
-    rows = udfs.decoded(spread(docs), "raw").select("doc_id", value("body string")["body"].alias("body"))
+    docs = records(spark, sf_dir, "documents").select("doc_id", block("text", "\n>>>7f2a").alias("raw"))
+    rows = udfs.decoded(docs, "raw").select("doc_id", value("body string")["body"].alias("body"))
     return rows.select("doc_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
 
 
@@ -166,8 +175,8 @@ count(*) filter (where p_partkey % 5 = 0) as n_missing, count(*) filter (where p
 def schema_typed(spark, sf_dir):
     k = F.col("p_partkey")
     raw = F.concat_ws("\n", lines(id="p_partkey", big=flag(F.col("p_size") > 25)), F.when(k % 5 != 0, lines(name="p_name")), F.when((k % 5 != 0) & (k % 3 == 0), "extra=1"))
-    rows = table(spark, sf_dir, "part").select(raw.alias("raw"), F.lit(SCHEMA).alias("schema"))
-    rows = udfs.decoded(spread(rows), "raw", schema="schema")
+    rows = records(spark, sf_dir, "part").select(raw.alias("raw"), F.lit(SCHEMA).alias("schema"))
+    rows = udfs.decoded(rows, "raw", schema="schema")
     error = F.col("decoded.error")
     return rows.agg(
         F.count("*").alias("n"),
@@ -181,7 +190,7 @@ def schema_typed(spark, sf_dir):
 @query("""select count(*) as n, count(*) filter (where o_orderkey % 5 = 0) as n_errors, sum(o_orderkey)::bigint as sum_key from orders""")
 def lenient_errors(spark, sf_dir):
     raw = F.concat(lines(a="o_orderkey"), F.when(F.col("o_orderkey") % 5 == 0, "\nnothing here").otherwise(""))
-    rows = udfs.decoded(spread(table(spark, sf_dir, "orders").select(raw.alias("raw"))), "raw", lenient=True)
+    rows = udfs.decoded(records(spark, sf_dir, "orders").select(raw.alias("raw")), "raw", lenient=True)
     return rows.agg(F.count("*").alias("n"), F.sum(F.size("decoded.errors")).cast("long").alias("n_errors"), F.sum(value("a bigint")["a"]).alias("sum_key"))
 
 
@@ -301,7 +310,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = lines(id="o_orderkey", status="o_orderstatus")
     reply = F.when(k % 10 == 0, "nothing to say").when(k % 7 == 0, lines(id="o_orderkey", status=F.lit("?"))).when(k % 3 == 0, F.concat(F.lit("```\n"), gold, F.lit("\n```"))).otherwise(gold)
     grp = F.when(k % 2 == 0, "valid").otherwise("holdout")
-    return table(spark, sf_dir, "orders").select(k.alias("rec_id"), grp.alias("grp"), F.when(k % 20 == 0, "unreadable").otherwise(gold).alias("gold"), reply.alias("candidate"), order_json().alias("base"))
+    return records(spark, sf_dir, "orders").select(k.alias("rec_id"), grp.alias("grp"), F.when(k % 20 == 0, "unreadable").otherwise(gold).alias("gold"), reply.alias("candidate"), order_json().alias("base"))
 
 
 SCORES_SQL = """select case when o_orderkey % 2 = 0 then 'valid' else 'holdout' end as grp,
@@ -312,7 +321,7 @@ count(*) filter (where o_orderkey % 20 <> 0 and o_orderkey % 10 <> 0 and o_order
 
 @query(SCORES_SQL)
 def score_pairs(spark, sf_dir):
-    return evaluate.groups(evaluate.scored(spread(pairs(spark, sf_dir))))
+    return evaluate.groups(evaluate.scored(pairs(spark, sf_dir)))
 
 
 @query(f"""with s as ({SCORES_SQL}), m as (select grp || '_parse' as metric, parse / n as actual from s union all select grp || '_fidelity', fidelity / n from s)
