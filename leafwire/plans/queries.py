@@ -497,7 +497,7 @@ def native_surface(spark, sf_dir):
 def structural_damage(spark, sf_dir):
     """Records with a block: each variant's readability, value and repairs."""
     raw = F.concat(lines(id="c_custkey"), F.lit("\nnote=<<<7f2a\nsome words of "), "c_name", F.lit("\nand more\n>>>7f2a"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("some words of "), "c_name", F.lit("\nand more")).alias("note"), raw.alias("raw"))
+    rows = records(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("some words of "), "c_name", F.lit("\nand more")).alias("note"), raw.alias("raw"))
     rows = udfs.decoded(mutate.damage(rows), "raw").withColumn("v", value("id string, note string"))
     same = (F.col("v.id") == F.col("c_custkey").cast("string")) & (F.col("v.note") == F.col("note"))
     kinds = F.array_join(F.array_sort(F.array_distinct(udfs.repair_kinds(F.col("decoded")))), ",")
