@@ -132,7 +132,7 @@ def decode_multiline(spark, sf_dir):
 @query("""select v.variant, count(*) as n, count(*) as n_equal, (count(*) * v.per)::bigint as n_repairs
 from customer, (values ('fence', 1), ('named_fence', 1), ('markers', 1), ('tokens', 1), ('opener', 2), ('crlf', 1), ('space', 0)) as v(variant, per) group by v.variant, v.per""")
 def repair_wraps(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", lines(id="c_custkey", name="c_name").alias("raw"))
+    rows = records(spark, sf_dir, "customer").select("c_custkey", "c_name", lines(id="c_custkey", name="c_name").alias("raw"))
     rows = udfs.decoded(mutate.wraps(rows), "raw").withColumn("v", value("id bigint, name string"))
     same = (F.col("v.id") == F.col("c_custkey")) & (F.col("v.name") == F.col("c_name"))
     return rows.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"), F.sum(F.size("decoded.repairs")).alias("n_repairs"))
