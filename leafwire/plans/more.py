@@ -113,7 +113,7 @@ def repair_blocks(spark, sf_dir):
     """Blocks whose closing line has another nonce, fewer signs, or is not there."""
     body = F.concat(F.lit("words about "), "c_name", F.lit("\nand no more words"))
     raws = [F.struct(F.lit(name).alias("variant"), F.concat(F.lit(f"note={a}\n"), body, F.lit(f"\n{b}" if b else "")).alias("raw")) for name, (a, b, _) in BLOCKS.items()]
-    rows = table(spark, sf_dir, "customer").select(body.alias("body"), F.explode(F.array(*raws)).alias("x")).select("body", "x.*")
+    rows = records(spark, sf_dir, "customer").select(body.alias("body"), F.explode(F.array(*raws)).alias("x")).select("body", "x.*")
     rows = udfs.decoded(rows, "raw", lenient=True).withColumn("note", value("note string")["note"])
     kinds = F.array_join(udfs.repair_kinds(F.col("decoded")), ",")
     return rows.groupBy("variant", kinds.alias("kinds")).agg(F.count("*").alias("n"), F.count_if(F.col("note") == F.col("body")).alias("n_same"), F.count_if("decoded.truncated").alias("truncated"))

@@ -7,7 +7,7 @@ from leafwire.functions import codec
 from leafwire.plans import more  # noqa: F401  (registers its queries)
 from leafwire.plans.queries import QUERIES, pairs, records
 
-DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps"]
+DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps", "repair_blocks"]
 
 
 def scans_of_decodes(df):
