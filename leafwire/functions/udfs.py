@@ -102,6 +102,25 @@ def decoded(df: DataFrame, text: str, into: str = "decoded", schema: str | None
     return df.withColumn(into, f(text, schema, one_evaluation=True))
 
 
+def decoded_together(df: DataFrame, extracted: dict[str, str] | None = None, **texts: str) -> DataFrame:
+    """``df`` with a strict decode of each text (name=column) and the JSON in each reply of ``extracted``, once a record.
+
+    All stand in one projection, so that a task needs one Python worker, not one for each.
+    """
+    found = {name: found_json(c) for name, c in (extracted or {}).items()}
+    return df.withColumns({name: decode(c, one_evaluation=True) for name, c in texts.items()} | found)
+
+
+def found_json(text: Column | str) -> Column:
+    """json, canon: the JSON of a chatty reply as :func:`extract_json` gives it, and its canonical form."""
+
+    def row(t: str) -> dict:
+        found = trees.json_in(t)
+        return {"json": found, "canon": None if found is None else trees.canonical(found)}
+
+    return batched("struct<json:string,canon:string>", pa.struct([("json", pa.string()), ("canon", pa.string())]), lambda t: row(t)).asNondeterministic()(text)
+
+
 def record_leaves(text: Column | str) -> Column:
     """The record's leaves: key, kind, raw, cells."""
     return batched(LEAVES, _leaves, lambda t: leaf_rows(t))(text)

@@ -85,15 +85,15 @@ def compare(pairs: DataFrame, gold: str = "gold", record: str = "candidate", bas
 
     With the path of a ``tokenizer`` also their tokens, the ratio of these, and whether that passes TOKEN_RATIO.
     """
-    rows = udfs.decoded(udfs.decoded(pairs, gold, "_w"), record, "_r").withColumn("_b", udfs.extract_json(base))
+    rows = udfs.decoded_together(pairs, {"_b": base}, _w=gold, _r=record)
     right = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     tokens = [F.sum(udfs.token_count(c, tokenizer)).alias(f"{name}_tokens") for name, c in (("record", record), ("base", base))] if tokenizer else []
     sums = rows.groupBy(by).agg(
         F.count("*").alias("n"),
         right(F.col("_r.ok")).alias("record_parse"),
         right(F.col("_r.value") == F.col("_w.value")).alias("record_fidelity"),
-        right(F.col("_b").isNotNull()).alias("base_parse"),
-        right(udfs.canon("_b") == F.col("_w.value")).alias("base_fidelity"),
+        right(F.col("_b.json").isNotNull()).alias("base_parse"),
+        right(F.col("_b.canon") == F.col("_w.value")).alias("base_fidelity"),
         F.sum(F.octet_length(record)).alias("record_bytes"),
         F.sum(F.octet_length(base)).alias("base_bytes"),
         F.avg(native.word_count(record)).alias("record_words"),

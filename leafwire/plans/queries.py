@@ -304,13 +304,13 @@ def dedupe_text(spark, sf_dir):
     return corpus.dedupe_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", F.md5("text").alias("digest"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, base: Column | None = None) -> DataFrame:
     """Orders as gold and reply: every 10th reply is prose, every 7th has another status, every 3rd of the rest is fenced, every 20th gold is unreadable."""
     k = F.col("o_orderkey")
     gold = lines(id="o_orderkey", status="o_orderstatus")
     reply = F.when(k % 10 == 0, "nothing to say").when(k % 7 == 0, lines(id="o_orderkey", status=F.lit("?"))).when(k % 3 == 0, F.concat(F.lit("```\n"), gold, F.lit("\n```"))).otherwise(gold)
     grp = F.when(k % 2 == 0, "valid").otherwise("holdout")
-    return records(spark, sf_dir, "orders").select(k.alias("rec_id"), grp.alias("grp"), F.when(k % 20 == 0, "unreadable").otherwise(gold).alias("gold"), reply.alias("candidate"), order_json().alias("base"))
+    return records(spark, sf_dir, "orders").select(k.alias("rec_id"), grp.alias("grp"), F.when(k % 20 == 0, "unreadable").otherwise(gold).alias("gold"), reply.alias("candidate"), (order_json() if base is None else base).alias("base"))
 
 
 SCORES_SQL = """select case when o_orderkey % 2 = 0 then 'valid' else 'holdout' end as grp,
@@ -342,8 +342,7 @@ round(sum(strlen(record)) / sum(strlen(base)), 6) as ratio from p group by 1""")
 def compare_candidates(spark, sf_dir):
     k = F.col("o_orderkey")
     base = F.when(k % 9 == 0, "no json").when(k % 5 == 0, F.concat(F.lit('Sure: {"id": '), k.cast("string"), F.lit(', "status": "'), "o_orderstatus", F.lit('"} there'))).otherwise(F.concat(F.lit('{"status":"?","id":'), k.cast("string"), F.lit("}")))
-    rows = pairs(spark, sf_dir).drop("base").join(table(spark, sf_dir, "orders").select(k.alias("rec_id"), base.alias("base")), "rec_id")
-    found = evaluate.compare(rows)
+    found = evaluate.compare(pairs(spark, sf_dir, base))
     return found.withColumns({c: F.round(c, 6) for c in ("record_words", "base_words", "ratio")})
 
 

@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leafwire.functions import codec
+from leafwire.functions import codec, udfs
 from leafwire.plans import more  # noqa: F401  (registers its queries)
 from leafwire.plans.queries import QUERIES, pairs, records
 
-DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps", "repair_blocks"]
+DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps", "repair_blocks", "compare_candidates"]
 
 
 def scans_of_decodes(df):
@@ -33,6 +33,19 @@ def test_tasks_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and max(counts) < sum(counts) / 4
 
 
+@pytest.mark.parametrize("name", ["compare_candidates"])
+def test_one_worker_a_task(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
+
+
+def test_found_json(spark):
+    texts = ['say {"b": 1, "a": 2.0} ok', "none", None, "[1, 2] x", "NaN", '{"a": NaN}', "[" * 3000 + "]" * 3000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(udfs.found_json("t").alias("x"), udfs.extract_json("t").alias("json"), udfs.canon(udfs.extract_json("t")).alias("canon")).collect()
+    assert [(r.x and r.x.json, r.x and r.x.canon) for r in got] == [(r.json, r.canon) for r in got] and got[0].json == '{"b":1,"a":2.0}'
+
+
 def test_short_ways_of_the_scan():
     assert codec.path_of("a.b c.d]") == ["a", "b c", "d]"] and codec.path_of("a[0].<<<b.c>>>") == ["a", 0, "b.c"]
     for key in ("", ".", "a.", ".a", "a..b"):
