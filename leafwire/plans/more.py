@@ -92,7 +92,7 @@ def flatten_braces(spark, sf_dir):
     """Nested blocks in braces; every fourth record has one that is never closed and stays a leaf."""
     k = F.col("c_custkey").cast("string")
     raw = F.concat(F.lit("c={\n  key="), k, F.lit("\n  seg="), "c_mktsegment", F.lit("\n  nation={\n    id="), F.col("c_nationkey").cast("string"), F.lit("\n  }\n}"), F.when(F.col("c_custkey") % 4 == 0, "\nopen={\nz=1").otherwise(""))
-    rows = udfs.decoded(table(spark, sf_dir, "customer").select(raw.alias("raw")), "raw").withColumn("v", value("c struct<key:bigint,seg:string,nation:struct<id:bigint>>, open string"))
+    rows = udfs.decoded(records(spark, sf_dir, "customer").select(raw.alias("raw")), "raw").withColumn("v", value("c struct<key:bigint,seg:string,nation:struct<id:bigint>>, open string"))
     return rows.groupBy(F.col("v.c.seg").alias("seg")).agg(
         F.count("*").alias("n"), F.sum("v.c.key").alias("keys"), F.sum("v.c.nation.id").alias("nations"), F.count_if(F.array_contains(udfs.repair_kinds(F.col("decoded")), "multiline_braces_flattened")).alias("flattened"), F.count_if(F.col("v.open") == "{").alias("left_open")
     )
