@@ -28,7 +28,7 @@ def scored(pairs: DataFrame, gold: str = "gold", candidate: str = "candidate", t
     """
     reply = native.strip_think(candidate) if thinks else F.col(candidate)
     reply = F.regexp_replace(reply, r"(?U)\A\s+|\s+\z", "")
-    both = udfs.decoded(udfs.decoded(pairs.withColumn("_reply", reply), gold, "_gold"), "_reply", "_read")
+    both = udfs.decoded_together(pairs.withColumn("_reply", reply), _gold=gold, _read="_reply")
     parse = F.coalesce(F.col("_read.ok"), F.lit(False))
     fidelity = parse & F.coalesce(F.col("_gold.value") == F.col("_read.value"), F.lit(False))
     out = both.withColumns({"gold_ok": F.coalesce(F.col("_gold.ok"), F.lit(False)), "parse": parse, "fidelity": fidelity, "repaired": parse & (F.size("_read.repairs") > 0)})

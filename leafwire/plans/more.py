@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwire.functions import native, udfs
@@ -14,6 +15,12 @@ from leafwire.plans import stages
 from leafwire.plans.queries import SCORES_SQL, lines, pairs, query, records, score_pairs, splits, table, value
 from leafwire.sources import jsonl
 
+
+def told(spark: SparkSession, said: list[str]) -> DataFrame:
+    """Lines of the driver as rows. From Arrow, since a list of tuples goes through a new Python worker in every core."""
+    return spark.createDataFrame(pa.table({"line": pa.array(said, pa.string())}))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all machines share: below spark.checkpoint.dir or, where all of Spark is one process, a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -166,7 +173,7 @@ def failed_replies(spark, sf_dir):
 union all select 'gate smoke: ' || case when fidelity >= 0.5 * n then 'PASS' else 'FAIL' end from ({SCORES_SQL}) where grp = 'valid' union all select '  valid_fidelity ' || cast(round(fidelity / n, 4) as varchar) || ' (at least 0.5): ' || case when fidelity >= 0.5 * n then 'ok' else 'failed' end from ({SCORES_SQL}) where grp = 'valid'""")
 def summary_lines(spark, sf_dir):
     text = report.summary(report.payload(pairs(spark, sf_dir), stage="smoke"))
-    return spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+    return told(spark, text.split("\n"))
 
 
 @query(f"""with s as ({SCORES_SQL}), v as (select * from s where grp = 'valid'), h as (select * from s where grp = 'holdout')
@@ -195,7 +202,7 @@ def model_card_lines(spark, sf_dir):
     run = {"final_loss": 0.12345, "hyperparameters": {"rate": 0.1}, "data": {"rows": 7}}
     card = report.model_card(report.payload(pairs(spark, sf_dir)), "Org/Qwen-1", run)
     some = [x for x in card.split("\n") if x.startswith(("| valid", "| holdout", "license:", "base_model", "Final", "* ", "Apache"))]
-    return spark.createDataFrame([(x,) for x in some], "line string")
+    return told(spark, some)
 
 
 @query("""select p_partkey, case p_partkey % 2 when 0 then 'qwen' else 'llama' end as family, case p_partkey % 2 when 0 then 'Built with Qwen' else 'Built with Llama' end as attribution, case p_partkey % 2 when 0 then 'Apache License 2.0' else 'Llama 3.2 Community License' end as name from part""")

@@ -33,12 +33,18 @@ def test_tasks_grow_with_the_table(spark, sf_dir, monkeypatch):
     assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism and max(counts) < sum(counts) / 4
 
 
-@pytest.mark.parametrize("name", ["compare_candidates"])
+@pytest.mark.parametrize("name", ["compare_candidates", "score_pairs"])
 def test_one_worker_a_task(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
 
 
+def test_lines_need_no_worker(spark):
+    rows = more.told(spark, ["a", "b\n"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().startswith("LocalRelation")
+    assert rows.schema.simpleString() == "struct<line:string>" and [r.line for r in rows.collect()] == ["a", "b\n"]
+
+
 def test_found_json(spark):
     texts = ['say {"b": 1, "a": 2.0} ok', "none", None, "[1, 2] x", "NaN", '{"a": NaN}', "[" * 3000 + "]" * 3000]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
