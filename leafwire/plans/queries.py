@@ -78,7 +78,7 @@ def decode_typed(spark, sf_dir):
 
 @query("""select c_mktsegment as seg, c_nationkey as nation, count(*) as n, sum(c_custkey)::bigint as sum_key from customer group by 1, 2""")
 def decode_nested_path(spark, sf_dir):
-    raw = table(spark, sf_dir, "customer").select(lines(cust__key="c_custkey", cust__seg="c_mktsegment", cust__nation__id="c_nationkey").alias("raw"))
+    raw = records(spark, sf_dir, "customer").select(lines(cust__key="c_custkey", cust__seg="c_mktsegment", cust__nation__id="c_nationkey").alias("raw"))
     rows = udfs.decoded(raw, "raw").select(value("cust struct<key:bigint,seg:string,nation:struct<id:int>>").alias("v"))
     return rows.groupBy(F.col("v.cust.seg").alias("seg"), F.col("v.cust.nation.id").alias("nation")).agg(F.count("*").alias("n"), F.sum("v.cust.key").alias("sum_key"))
 
