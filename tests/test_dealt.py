@@ -60,3 +60,16 @@ def test_short_ways_of_the_scan():
     assert codec.split_cells("a},b") == ["a}", "b"] and codec.split_cells("{a,b},c") == ["{a,b}", "c"] and codec.split_cells("") == [""]
     assert codec.first_outside("<<<a=b>>>:c", "=:") == 9 and codec.first_outside("a:b=c", "=:") == 1 and codec.first_outside("a", "=:") == -1
     assert codec.decode("a=<b=[\n1\n]")["value"] == {"a=<b": [1]}
+
+
+def test_one_scan_for_all_schemas(monkeypatch):
+    scans = []
+    monkeypatch.setattr(codec.Scan, "run", lambda self, run=codec.Scan.run: scans.append(1) or run(self))
+    texts = ["a=1\nb.c[0]=x", "a: 1\na=2", "```\nx=<<<7f\na\n>>>01\n```", "no line", "a: 1\nbad", "r=[\n1\n]\nt::u\nt[0]=1", "a[0]=1\na[2]=1"]
+    schemas = [None, "a:n\nb.c[]:s", "a:s?", "x:t", "r[]:n\nt[]:o", "bad"]
+    for text in texts:
+        for decode in (codec.decode, codec.decode_lenient):
+            fresh = [(codec.scanned.cache_clear(), decode(text, s))[1] for s in schemas]
+            scans.clear()
+            codec.scanned.cache_clear()
+            assert [decode(text, s) for s in schemas + schemas] == fresh + fresh and len(scans) <= 1
