@@ -130,7 +130,7 @@ def repair_blocks(spark, sf_dir):
 def repeated_key_order(spark, sf_dir):
     """The detail of a repair lists keys by UTF-16 units; the first bad key in code-point order is named."""
     raws = {"astral": "k\ufffc=1\nk\ufffc=2\nk\U0001f600=1\nk\U0001f600=2", "key": "t::z>>>,a>>>\nt[0]=1,2", "deeper": "t::z,a>>>\nt[0]=1,2"}
-    rows = table(spark, sf_dir, "supplier").select(F.explode(F.create_map(*[F.lit(x) for kv in raws.items() for x in kv])).alias("variant", "raw"))
+    rows = records(spark, sf_dir, "supplier").select(F.explode(F.create_map(*[F.lit(x) for kv in raws.items() for x in kv])).alias("variant", "raw"))
     rows = udfs.decoded(rows, "raw")
     named = F.coalesce(F.regexp_extract("decoded.error", "([az]>>>)", 1), F.lit(""))
     detail = F.coalesce(F.get("decoded.repairs", F.lit(0))["detail"], F.lit(""))
@@ -142,7 +142,7 @@ def batch_results(spark, sf_dir):
     """Results of a batch: the number of repairs, and no value or error where there is none."""
     k = F.col("p_partkey")
     raw = F.when(k % 2 != 0, "nothing").when(k % 3 == 0, F.concat(F.lit("```\nk="), k.cast("string"), F.lit("\n```"))).otherwise(lines(k="p_partkey"))
-    rows = udfs.decoded(table(spark, sf_dir, "part").select(raw.alias("raw")), "raw").select(udfs.batch_result(F.col("decoded")).alias("r"))
+    rows = udfs.decoded(records(spark, sf_dir, "part").select(raw.alias("raw")), "raw").select(udfs.batch_result(F.col("decoded")).alias("r"))
     return rows.agg(F.count("*").alias("n"), F.count_if("r.ok").alias("n_ok"), F.sum(F.from_json("r.value", "k bigint")["k"]).alias("keys"), F.sum("r.repairs").cast("long").alias("n_repaired"), F.count("r.error").alias("n_errors"))
 
 
@@ -154,7 +154,7 @@ def model_replies(spark, sf_dir):
 
 @query("""select event_id, case when event_id % 5 = 0 then '—' else format('{:.4g}', value) end as loss from events""")
 def loss_digits(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", udfs.four_digits(F.when(F.col("event_id") % 5 != 0, F.col("value"))).alias("loss"))
+    return records(spark, sf_dir, "events").select("event_id", udfs.four_digits(F.when(F.col("event_id") % 5 != 0, F.col("value"))).alias("loss"))
 
 
 @query("""select lang, sum(least(length(text), 120))::bigint as mismatch, sum(least(length(text), 160))::bigint as error, sum(least(length(text), 200))::bigint as gold, sum(least(length(text), 240))::bigint as prompt, sum(least(length(text), 400))::bigint as output from documents group by 1""")

@@ -72,7 +72,7 @@ def decode_bare_rollup(spark, sf_dir):
 @query("""select p_size > 25 as big, count(*) as n, sum(p_partkey)::bigint as sum_key, count(distinct p_brand) as brands from part group by 1""")
 def decode_typed(spark, sf_dir):
     raw = F.concat_ws("\n", F.concat(F.lit("k:n="), F.col("p_partkey").cast("string")), F.concat(F.lit("s:s="), "p_brand"), F.concat(F.lit("b:b="), flag(F.col("p_size") > 25)))
-    rows = udfs.decoded(table(spark, sf_dir, "part").select(raw.alias("raw")), "raw").select(value("k bigint, s string, b boolean").alias("v"))
+    rows = udfs.decoded(records(spark, sf_dir, "part").select(raw.alias("raw")), "raw").select(value("k bigint, s string, b boolean").alias("v"))
     return rows.groupBy(F.col("v.b").alias("big")).agg(F.count("*").alias("n"), F.sum("v.k").alias("sum_key"), F.count_distinct("v.s").alias("brands"))
 
 
@@ -114,7 +114,7 @@ def decode_array_rows(spark, sf_dir):
 @query("""select s_suppkey, s_name from supplier""")
 def decode_inline_object(spark, sf_dir):
     raw = F.concat(F.lit("o={id="), F.col("s_suppkey").cast("string"), F.lit(",name="), F.col("s_name"), F.lit("}"))
-    rows = udfs.decoded(table(spark, sf_dir, "supplier").select(raw.alias("raw")), "raw").select(value("o struct<id:bigint,name:string>")["o"].alias("o"))
+    rows = udfs.decoded(records(spark, sf_dir, "supplier").select(raw.alias("raw")), "raw").select(value("o struct<id:bigint,name:string>")["o"].alias("o"))
     return rows.select(F.col("o.id").alias("s_suppkey"), F.col("o.name").alias("s_name"))
 
 
@@ -154,7 +154,7 @@ def repair_repeated_keys(spark, sf_dir):
 
 @query("""select concat(' ', c_mktsegment) as seg, count(*) as n, count(*) as n_repaired from customer group by 1""")
 def repair_separator(spark, sf_dir):
-    rows = udfs.decoded(table(spark, sf_dir, "customer").select(F.concat(F.lit("seg: "), "c_mktsegment").alias("raw")), "raw")
+    rows = udfs.decoded(records(spark, sf_dir, "customer").select(F.concat(F.lit("seg: "), "c_mktsegment").alias("raw")), "raw")
     return rows.groupBy(value("seg string")["seg"].alias("seg")).agg(F.count("*").alias("n"), F.count_if(F.array_contains(udfs.repair_kinds(F.col("decoded")), "separator_coerced")).alias("n_repaired"))
 
 
@@ -162,7 +162,7 @@ def repair_separator(spark, sf_dir):
 def reject_records(spark, sf_dir):
     k = F.col("o_orderkey") % 7
     raw = F.when(k == 0, "a[0]=1\na[2]=3").when(k == 1, "a=1\na.b=2").when(k == 2, "t::<<<a>>>\nt[0]=1").otherwise(lines(a="o_orderkey"))
-    rows = udfs.decoded(table(spark, sf_dir, "orders").select(k.alias("k"), raw.alias("raw")), "raw")
+    rows = udfs.decoded(records(spark, sf_dir, "orders").select(k.alias("k"), raw.alias("raw")), "raw")
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if("decoded.ok").alias("n_ok"))
 
 
@@ -202,7 +202,7 @@ def think_strip(spark, sf_dir):
 
 @query("""select event_type, count(*) as n, sum(cast(json_extract_string(props, '$.k') as bigint))::bigint as sum_k from events group by 1""")
 def extract_json_fenced(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_type", F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone.")).alias("reply"))
+    rows = records(spark, sf_dir, "events").select("event_type", F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone.")).alias("reply"))
     found = rows.select("event_type", F.from_json(udfs.extract_json("reply"), "k bigint")["k"].alias("k"))
     return found.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("sum_k"))
 
@@ -212,7 +212,7 @@ def extract_json_fenced(spark, sf_dir):
 def flatten_leaves(spark, sf_dir):
     """Objects in arrays, nulls and empty containers: the last have no leaves."""
     text = F.concat(F.lit('{"key":'), F.col("o_orderkey").cast("string"), F.lit(',"tags":["'), "o_orderstatus", F.lit('",{"late":'), flag(F.col("o_orderkey") % 2 == 0), F.lit('}],"a":{"none":null,"empty":{},"list":[]}}'))
-    rows = evaluate.leaf_table(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), text.alias("json")), "json")
+    rows = evaluate.leaf_table(records(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), text.alias("json")), "json")
     return rows.groupBy("path", "type").agg(F.count("*").alias("n"), F.count_distinct("leaf").alias("leaves"))
 
 
@@ -223,7 +223,7 @@ def order_json(*more: Column) -> Column:
 @query("""select count(*) as checked, count(*) filter (where o_orderkey % 5 = 0) as bad from orders""")
 def leaf_containment(spark, sf_dir):
     prompt = F.concat(F.lit("order "), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderkey").cast("string")), F.lit(' has status "'), "o_orderstatus", F.lit('"'))
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), prompt.alias("prompt"), order_json().alias("source"))
+    rows = records(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rec_id"), prompt.alias("prompt"), order_json().alias("source"))
     return hygiene.contained(rows)
 
 
@@ -231,7 +231,7 @@ def leaf_containment(spark, sf_dir):
 def canon_dedupe(spark, sf_dir):
     k, kind = F.get_json_object("props", "$.k"), F.to_json(F.array("event_type"))
     one, two = F.concat(F.lit('{"k":'), k, F.lit(',"t":'), kind, F.lit("}")), F.concat(F.lit('{"t": '), kind, F.lit(', "k": '), k, F.lit("}"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("value"))
+    rows = records(spark, sf_dir, "events").select(F.col("event_id").alias("rec_id"), F.when(F.col("event_id") % 2 == 0, one).otherwise(two).alias("value"))
     return corpus.dedupe_json(rows, "value").agg(F.count("*").alias("n"))
 
 
@@ -351,7 +351,7 @@ def tree_diff(spark, sf_dir):
     k = F.col("o_orderkey")
     key = F.col("o_orderkey").alias("key")
     got = F.when(k % 4 == 0, F.to_json(F.struct(key))).when(k % 4 == 1, F.to_json(F.struct(key, F.lit(5).alias("status")))).when(k % 4 == 2, F.to_json(F.struct((k + 1).alias("key"), F.col("o_orderstatus").alias("status")))).otherwise(order_json())
-    rows = table(spark, sf_dir, "orders").select(k.alias("rec_id"), order_json().alias("want"), got.alias("got"))
+    rows = records(spark, sf_dir, "orders").select(k.alias("rec_id"), order_json().alias("want"), got.alias("got"))
     return evaluate.tree_diff(rows, "want", "got").groupBy("rank", "path").agg(F.count("*").alias("n"))
 
 
@@ -360,7 +360,7 @@ def describe_diff(spark, sf_dir):
     k = F.col("o_orderkey")
     key = F.col("o_orderkey").alias("key")
     got = F.when(k % 4 == 0, F.to_json(F.struct(key))).when(k % 4 == 1, F.to_json(F.struct(key, F.lit(5).alias("status")))).when(k % 4 == 2, F.to_json(F.struct((k + 1).alias("key"), F.col("o_orderstatus").alias("status")))).otherwise(order_json())
-    rows = table(spark, sf_dir, "orders").select(udfs.describe_diff(order_json(), got).alias("words"))
+    rows = records(spark, sf_dir, "orders").select(udfs.describe_diff(order_json(), got).alias("words"))
     return rows.groupBy("words").agg(F.count("*").alias("n"))
 
 
@@ -368,7 +368,7 @@ def describe_diff(spark, sf_dir):
 def grammar_accept(spark, sf_dir):
     k = F.col("s_suppkey") % 4
     raw = F.when(k == 0, lines(id="s_suppkey", name="s_name")).when(k == 1, F.concat(F.lit("xs=[\n"), "s_name", F.lit("\n]"))).when(k == 2, F.concat(F.lit("xs=[\n"), "s_name")).otherwise(F.concat(F.lit("="), "s_name"))
-    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), udfs.accepts(raw).alias("yes"))
+    rows = records(spark, sf_dir, "supplier").select(k.alias("k"), udfs.accepts(raw).alias("yes"))
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if("yes").alias("accepted"))
 
 
@@ -381,13 +381,13 @@ def native_leaves(spark, sf_dir):
 @query("""select name, kind, n, n as n_raw from (values ('id', 'bare'), ('name', 's'), ('items', 'header'), ('items[0]', 'row')) as v(name, kind), (select count(*) as n from supplier)""")
 def leaf_rows(spark, sf_dir):
     raw = F.concat(F.lit("id=1\nname:s="), "s_name", F.lit("\nitems::a,b\nitems[0]=1,2"))
-    rows = leaftable.explode_leaves(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec_id"), raw.alias("raw")))
+    rows = leaftable.explode_leaves(records(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rec_id"), raw.alias("raw")))
     return rows.groupBy("name", "kind").agg(F.count("*").alias("n"), F.count(F.coalesce("raw", F.get("cells", F.lit(0)))).alias("n_raw"))
 
 
 def tag_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.row_number().over(w).alias("line"), F.col("event_type").alias("name"))
+    return records(spark, sf_dir, "events").select(F.col("user_id").alias("rec_id"), F.row_number().over(w).alias("line"), F.col("event_type").alias("name"))
 
 
 TAGS_SQL = "(select user_id, event_id, event_type, count(*) over (partition by user_id, event_type) as n, row_number() over (partition by user_id, event_type order by event_id) as i from events)"
@@ -453,7 +453,7 @@ def truncation_cuts(spark, sf_dir):
 def ingest_lossless(spark, sf_dir):
     k = F.col("p_partkey")
     raw = F.when(k % 3 == 0, F.lit("size=x")).otherwise(lines(size="p_size"))
-    rows = table(spark, sf_dir, "part").select(k.alias("rec_id"), raw.alias("raw"), F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit("}")).alias("value"))
+    rows = records(spark, sf_dir, "part").select(k.alias("rec_id"), raw.alias("raw"), F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit("}")).alias("value"))
     return corpus.ingest(rows, "raw", "value").select("rec_id", F.from_json("value", "size int")["size"].alias("p_size"))
 
 
@@ -507,7 +507,7 @@ def structural_damage(spark, sf_dir):
 @query("""select count(*) as n, count(*) filter (where o_orderkey % 3 = 0) as n_sparse, count(*) as n_kept from orders""")
 def lenient_sparse(spark, sf_dir):
     raw = F.concat(lines(id="o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "\nxs[0]=1\nxs[2]=3").otherwise("\nxs[0]=1"))
-    rows = udfs.decoded(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw", lenient=True)
+    rows = udfs.decoded(records(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw", lenient=True)
     return rows.agg(F.count("*").alias("n"), F.count_if(F.exists("decoded.errors", lambda e: e["key"] == "xs")).alias("n_sparse"), F.count_if(value("id bigint")["id"] == F.col("o_orderkey")).alias("n_kept"))
 
 
@@ -517,7 +517,7 @@ def two_equalities(spark, sf_dir):
     a = F.concat(F.lit('{"a":'), F.col("p_size").cast("string"), F.lit("}"))
     b = F.concat(F.lit('{ "a" : '), F.when(k % 3 == 0, (F.col("p_size") + 1).cast("string")).when(k % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".0"))), F.lit("}"))
     same = F.concat(F.lit('{"a": '), F.col("p_size").cast("string"), F.when(k % 2 == 0, "").otherwise(".0"), F.lit("}"))
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_if(udfs.canon_equal(a, same)).alias("n_canon"), F.count_if(udfs.value_equal(a, b)).alias("n_value"))
+    return records(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.count_if(udfs.canon_equal(a, same)).alias("n_canon"), F.count_if(udfs.value_equal(a, b)).alias("n_value"))
 
 
 @query("""select o_orderkey % 3 as k, count(*) as n, case o_orderkey % 3 when 0 then 'status' when 1 then 'id,status' else '' end as missing from orders group by 1, 3""")

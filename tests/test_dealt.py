@@ -7,7 +7,7 @@ from leafwire.functions import codec, udfs
 from leafwire.plans import more  # noqa: F401  (registers its queries)
 from leafwire.plans.queries import QUERIES, pairs, records
 
-DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps", "repair_blocks", "compare_candidates", "flatten_braces", "decode_nested_path"]
+DEALT = ["perturbed_schemas", "decode_bare_rollup", "decode_multiline", "schema_typed", "lenient_errors", "score_pairs", "structural_damage", "repair_wraps", "repair_blocks", "compare_candidates", "flatten_braces", "decode_nested_path", "decode_typed", "decode_inline_object", "repair_separator", "reject_records", "extract_json_fenced", "flatten_leaves", "leaf_containment", "canon_dedupe", "tree_diff", "describe_diff", "grammar_accept", "leaf_rows", "ingest_lossless", "lenient_sparse", "two_equalities", "repeated_key_order", "batch_results", "loss_digits"]
 
 
 def scans_of_decodes(df):
